@@ -8,27 +8,11 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 
 def op1() -> str:
-    """The lookup table filled by turns, in SQL too."""
-    shards = ", ".join(f"'{s}'" for s in sharding.SHARDS)
-    n, m = len(sharding.SHARDS), sharding.SLOTS
-    number = lambda text: f"(('0x' || substr(md5({text}), 1, 15))::BIGINT)"
+    """Placement by the filled table, given as a list: filling it by turns takes SQL minutes, so that has a test of its own."""
     return f"""
-WITH RECURSIVE shards AS (SELECT unnest([{shards}]) AS shard, unnest(range({n})) AS k),
-orders AS (
-  SELECT list(p ORDER BY k) AS o FROM (
-    SELECT k, list_transform(range({m}), lambda j: CAST(({number("'offset:' || shard")} % {m} + j * ({number("'skip:' || shard")} % {m - 1} + 1)) % {m} AS INTEGER)) AS p
-    FROM shards)
-),
-fill AS (
-  SELECT 0 AS turn, list_transform(range({m}), lambda x: -1) AS slots, NULL::BIGINT AS slot
-  UNION ALL
-  SELECT turn + 1, list_transform(slots, lambda s, i: CASE WHEN i = pick + 1 THEN turn % {n} ELSE s END), pick
-  FROM (SELECT turn, slots, list_filter(o[turn % {n} + 1], lambda x: slots[x + 1] < 0)[1]::BIGINT AS pick FROM fill, orders WHERE turn < {m})
-),
-lookup AS (SELECT unnest(range({m})) AS slot, unnest(slots) AS k FROM fill WHERE turn = {m})
-SELECT d.doc_id, CAST(slot AS INTEGER) AS slot, shard
-FROM (SELECT doc_id, {number("coalesce(doc_id::VARCHAR, '')")} % {m} AS slot FROM documents) d
-JOIN lookup USING (slot) JOIN shards USING (k)"""
+WITH shards AS (SELECT {[sharding.SHARDS[i] for i in sharding.lookup_table(sharding.SHARDS)]} AS by_slot)
+SELECT doc_id, CAST(slot AS INTEGER) AS slot, by_slot[slot + 1] AS shard
+FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {sharding.SLOTS} AS slot FROM documents), shards"""
 
 
 def op4() -> str:
