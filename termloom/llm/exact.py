@@ -58,7 +58,8 @@ def duplicates(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFra
     texts = made.select("row", "doc_id", "text_sha256").join(lists.hint("merge"), "row", "left")
     texts = materialise(texts.withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>"))), "lists")
     last = F.max(F.struct("doc_id", "row"))
-    groups = texts.groupBy("ids").agg(last.alias("last"), F.count("*").alias("group_size")).where("group_size > 1")
+    # Stored, so that the join has an exchange of its own, whose hot partitions AQE can split.
+    groups = materialise(texts.groupBy("ids").agg(last.alias("last"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
     out = texts.join(groups.hint("merge"), "ids", "left")
     single = F.col("last").isNull()
     return out.select(
