@@ -29,7 +29,11 @@ def coerced(record: Column, date_key: str = "REGISTERDATE") -> Column:
 def read(spark: SparkSession, paths: str, charset: str = "EUC-KR") -> DataFrame:
     """(record, untagged) of files and folders, a comma list, subfolders included."""
     found = [p.strip() for p in paths.split(",") if p.strip()]
-    lines = spark.read.option("encoding", charset).option("recursiveFileLookup", "true").option("sep", "\u0001").option("quote", "").csv(found, schema="line string")
+    lines = spark.read.option("recursiveFileLookup", "true").text(found)
+    line = F.col("value")
+    if charset.upper().replace("-", "") != "UTF8":  # the JVM side knows Unicode charsets only; these keep line ends as single bytes
+        line = F.udf(lambda b: b.decode(charset, "replace"), "string", useArrow=True)(line.cast("binary"))
+    lines = lines.withColumn("line", F.rtrim(line, F.lit("\r")))
     raw = lines.select("line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     tagged = F.col("line").rlike(_TAG)
     first = raw.groupBy("file").agg(F.min_by(tagged, F.struct("block", "at")).alias("_ok")).where("_ok").select("file")
