@@ -118,7 +118,7 @@ def compare(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndar
 
     def bounds(tiles):
         counts = [np.bitwise_count(np.ascontiguousarray(f).view(np.uint8)).reshape(len(f), -1) for f, _ in tiles]
-        return np.array([c.min(0) for c in counts], dtype=np.int16), np.array([c.max(0) for c in counts], dtype=np.int16), np.array([[c.sum(1).min(), c.sum(1).max()] for c in counts])
+        return np.array([c.min(0) for c in counts], dtype=np.int16), np.array([c.max(0) for c in counts], dtype=np.int16), np.array([[c.sum(1).min(), c.sum(1).max()] for c in counts], dtype=np.int64)
 
     low_r, high_r, sum_r = bounds(right if right is not None else left)
     low_l, high_l, sum_l = (low_r, high_r, sum_r) if right is None else bounds(left)
