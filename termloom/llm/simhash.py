@@ -36,6 +36,8 @@ TILE = 1024
 BLOCK = 262_144
 #: Blocks of a small input, so that its comparison is spread too.
 LEAST_BLOCKS = 8
+#: Tasks that the pairs of blocks are dealt to, unless the cluster has more than a quarter as many cores.
+MOST_TASKS = 4096
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -156,14 +158,14 @@ def links(distinct: DataFrame, radius: int, words: int = 1) -> DataFrame:
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, number = TaskContext.get().partitionId(), 0
+        part, number = TaskContext.get().partitionId(), 0
         fps, ids, counts = [], [], []
-        out = ["block", "tile", "low", "high", "fps", "ids"]
+        out = ["part", "tile", "low", "high", "fps", "ids"]
 
         def tile(size: int) -> pa.RecordBatch:
             nonlocal number
             c = counts[:size]
-            row = [[block], [number], [min(c)], [max(c)], [b"".join(fps[:size])], [np.array(ids[:size], dtype="<i8").tobytes()]]
+            row = [[part], [number], [min(c)], [max(c)], [b"".join(fps[:size])], [np.array(ids[:size], dtype="<i8").tobytes()]]
             number += 1
             del fps[:size], ids[:size], counts[:size]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], out)
@@ -179,12 +181,21 @@ def links(distinct: DataFrame, radius: int, words: int = 1) -> DataFrame:
 
     # Sorted by total count, then by that of the first half: tiles are narrow in both.
     ranged = keyed.repartitionByRange(blocks, "_c", "_h", "fp").sortWithinPartitions("_c", "_h", "fp")
-    tiled = materialise(ranged.select("fp", F.col("rep").cast("long"), F.col("_c").cast("int")).mapInArrow(tiles, "block int, tile int, low int, high int, fps binary, ids binary"), "tiles")
-    ends = tiled.groupBy("block").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()  # one row a block
-    pairs = [(x.block, y.block) for x in ends for y in ends if x.block <= y.block and max(x.low, y.low) - min(x.high, y.high) <= radius]
-    sides = [(x, x, y) for x, y in pairs] + [(y, x, y) for x, y in pairs if x != y]
-    schema = "block int, pair_a int, pair_b int"
-    table = tiled.sparkSession.createDataFrame(sides or [(-1, -1, -1)], schema)
+    tiled = materialise(ranged.select("fp", F.col("rep").cast("long"), F.col("_c").cast("int")).mapInArrow(tiles, "part int, tile int, low int, high int, fps binary, ids binary"), "tiles")
+    ends = tiled.groupBy("part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum(F.octet_length("ids") / 8).cast("long").alias("rows")).orderBy("part").collect()  # one row a range
+    joined: list[list] = []  # a block: neighbouring ranges of up to ``most`` rows, however many ranges there are
+    most, held = min(BLOCK, -(-n // LEAST_BLOCKS)), 0
+    for e in ends:
+        held += e.rows
+        if not joined or held > most:
+            joined.append([])
+            held = e.rows
+        joined[-1].append(e)
+    spans = [(min(e.low for e in es), max(e.high for e in es)) for es in joined]
+    pairs = [(x, y) for x in range(len(spans)) for y in range(x, len(spans)) if spans[y][0] - spans[x][1] <= radius and spans[x][0] - spans[y][1] <= radius]
+    sides = [(e.part, b, x, y) for x, y in pairs for b in {x, y} for e in joined[b]]
+    schema = "part int, block int, pair_a int, pair_b int"
+    table = tiled.sparkSession.createDataFrame(sides or [(-1, -1, -1, -1)], schema)
 
     def work(key: tuple, tables: pa.Table) -> pa.Table:
         sides = {0: [], 1: []}
@@ -195,7 +206,9 @@ def links(distinct: DataFrame, radius: int, words: int = 1) -> DataFrame:
         rows = sorted(found)
         return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64())})
 
-    dealt = tiled.select("block", "tile", "fps", "ids").join(F.broadcast(table), "block").repartition(max(len(pairs), 1), "pair_a", "pair_b")
+    # A pair of blocks is the unit of work and of memory; a task takes one or, where there are very many, several in turn.
+    tasks = min(max(len(pairs), 1), max(MOST_TASKS, 4 * tiled.sparkSession.sparkContext.defaultParallelism))
+    dealt = tiled.select("part", "tile", "fps", "ids").join(F.broadcast(table), "part").repartition(tasks, "pair_a", "pair_b")
     return dealt.groupBy("pair_a", "pair_b").applyInArrow(work, "a long, b long")
 
 
