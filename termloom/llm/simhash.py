@@ -51,30 +51,41 @@ def shingles(text: bytes, size: int) -> list[bytes]:
     return [joined[a : b - 1] for a, b in zip(starts, ends[size - 1 :], strict=False)]
 
 
-def fingerprint(text: bytes, size: int, seeds: list[int]) -> bytes:
-    """Big-endian 64-bit words, one per seed."""
+def fingerprint(text: bytes, size: int, seeds: list[int], spread: int = 1) -> bytes:
+    """Big-endian 64-bit words, ``spread`` per seed: the hash itself and others mixed from it."""
     import xxhash
 
     parts = shingles(text, size)
     if not parts:
-        return bytes(8 * len(seeds))
+        return bytes(8 * len(seeds) * spread)
     out = b""
     for seed in seeds:
-        total = np.zeros(64, dtype=np.int64)
+        total = np.zeros((spread, 64), dtype=np.int64)
         for at in range(0, len(parts), 8192):
-            hashes = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts[at : at + 8192]), dtype=">u8", count=len(parts[at : at + 8192]))
-            total += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        out += np.packbits(2 * total > len(parts)).tobytes()
+            some = parts[at : at + 8192]
+            hashes = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in some), dtype=np.uint64, count=len(some))
+            for k in range(spread):
+                bits = np.unpackbits((_mixed(hashes, k) if k else hashes).astype(">u8").view(np.uint8)).reshape(-1, 64)
+                total[k] += bits.sum(axis=0, dtype=np.uint16)  # at most 8192
+        out += np.packbits(2 * total.reshape(-1) > len(parts)).tobytes()
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 4, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Another 64-bit hash from each of ``hashes``: a bijection by shifts and odd factors."""
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, size: int = 4, seeds: tuple[int, ...] = (42,), spread: int = 1) -> DataFrame:
     """(doc_id, fp): the fingerprint in bytes, of the whole text of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            fps = [fingerprint(t.as_py() or b"", size, list(seeds)) for t in texts]
+            fps = [fingerprint(t.as_py() or b"", size, list(seeds), spread) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp binary")
@@ -113,8 +124,12 @@ def _thin(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def compare(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]] | None, radius: int) -> set[tuple[int, int]]:
-    """Spanning links between tiles (fps [n, words] uint64, ids [n]); within ``left`` if right is None."""
+def compare(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]] | None, radius: int, coarse: int | None = None) -> set[tuple[int, int]]:
+    """Spanning links between tiles (fps [n, words] uint64, ids [n]); within ``left`` if right is None.
+
+    With ``coarse``, a link must also differ in no more bits of the first two
+    words; the others are then compared for such pairs alone.
+    """
     links: set[tuple[int, int]] = set()
     parent: dict[int, int] = {}
 
@@ -133,16 +148,19 @@ def compare(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndar
             step = 128
             for at in range(0, len(f), step):  # rows a few at a time, so that the matrix stays in the cache
                 part = f[at : at + step]
-                d = np.bitwise_count(part[:, None, 0] ^ g[None, :, 0])
-                for w in range(1, f.shape[1]):
+                d = np.bitwise_count(part[:, None, 0] ^ g[None, :, 0]).astype(np.uint16 if f.shape[1] > 3 else np.uint8, copy=False)
+                for w in range(1, f.shape[1] if coarse is None else 2):
                     d += np.bitwise_count(part[:, None, w] ^ g[None, :, w])
-                i, j = np.nonzero(d <= radius)
+                i, j = np.nonzero(d <= (radius if coarse is None else coarse))
+                if coarse is not None and len(i):
+                    close = np.bitwise_count(part[i] ^ g[j]).sum(1, dtype=np.int32) <= radius
+                    i, j = i[close], j[close]
                 if len(i):
                     _forest(*_thin(ids[at + i], other[j]), links, parent)
     return links
 
 
-def links(distinct: DataFrame, radius: int, words: int = 1) -> DataFrame:
+def links(distinct: DataFrame, radius: int, words: int = 1, coarse: int | None = None) -> DataFrame:
     """(a, b) rows that connect all ``distinct`` (fp binary, rep long) within ``radius`` bits.
 
     ``distinct`` is a stored table with each fingerprint once.
@@ -202,7 +220,7 @@ def links(distinct: DataFrame, radius: int, words: int = 1) -> DataFrame:
         for block, fps, ids in zip(*(tables.column(c).to_pylist() for c in ("block", "fps", "ids")), strict=True):
             f = np.frombuffer(fps, dtype=">u8").astype(np.uint64).reshape(-1, words)
             sides[int(block != key[0].as_py())].append((f, np.frombuffer(ids, dtype="<i8")))
-        found = compare(sides[0], sides[1] if key[0].as_py() != key[1].as_py() else None, radius) if sides[0] else set()
+        found = compare(sides[0], sides[1] if key[0].as_py() != key[1].as_py() else None, radius, coarse) if sides[0] else set()
         rows = sorted(found)
         return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64())})
 
@@ -212,11 +230,18 @@ def links(distinct: DataFrame, radius: int, words: int = 1) -> DataFrame:
     return dealt.groupBy("pair_a", "pair_b").applyInArrow(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (hex), component_id."""
-    fps = materialise(fingerprints(docs, size, seeds), "fingerprints")
+def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, seeds: tuple[int, ...] = (42,), spread: int = 1, coarse: int | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint (hex), component_id.
+
+    ``spread`` words a seed make a fingerprint longer and its radius sharper;
+    ``coarse`` is the most that the first two of three words or more may differ.
+    """
+    words = len(seeds) * spread
+    if coarse is not None and words < 3:
+        raise ValueError("coarse needs fingerprints of three words or more")
+    fps = materialise(fingerprints(docs, size, seeds, spread), "fingerprints")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = components(links(distinct, radius, len(seeds)))
+    found = components(links(distinct, radius, words, coarse))
     labelled = distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     # Nodes of the links are the least doc_id of their fingerprint, so the least node is the least doc_id.
     return fps.join(labelled.hint("merge"), "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

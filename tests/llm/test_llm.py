@@ -184,3 +184,32 @@ def test_pipeline_stages(spark, docs):
     replaced = corpus_pipeline.surrogates(spark, near, SMALL)
     assert replaced.columns == docs.columns and replaced.count() == near.count()
     assert corpus_pipeline.pack(spark, replaced, SMALL).agg(F.countDistinct("doc_id")).first()[0] == near.count()
+
+
+def test_near_duplicate_stage_equals_brute_force(spark, docs):
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    body = [f"word{i * i % 997}" for i in range(400)]
+    rows += [(10**6 + k, " ".join([*body[:k], "changed", *body[k + 1 :]])) for k in range(0, 60, 10)]  # near copies
+    rows += [(2 * 10**6, " ".join(body[:150] + [f"other{i}" for i in range(250)]))]  # shares a passage only
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {}
+    for d, t in rows:
+        fp = simhash.fingerprint(t.encode(), corpus_pipeline.SHINGLE, [42], corpus_pipeline.SPREAD)
+        prints[d] = int.from_bytes(fp, "big")
+    root = {d: d for d in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    order = sorted(prints)
+    for i, a in enumerate(order):
+        for b in order[:i]:
+            x = prints[a] ^ prints[b]
+            if x.bit_count() <= corpus_pipeline.RADIUS and (x >> 384).bit_count() <= corpus_pipeline.COARSE:
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SMALL).collect()}
+    assert left == {d for d in order if find(d) == d}
+    assert {10**6, 2 * 10**6} <= left and not left & {10**6 + k for k in range(10, 60, 10)}
