@@ -213,3 +213,15 @@ def test_near_duplicate_stage_equals_brute_force(spark, docs):
     left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SMALL).collect()}
     assert left == {d for d in order if find(d) == d}
     assert {10**6, 2 * 10**6} <= left and not left & {10**6 + k for k in range(10, 60, 10)}
+
+
+@pytest.mark.parametrize("which", ["docs", "edge"])
+def test_token_counts_equal_the_library(which, request):
+    df = request.getfixturevalue(which)
+    vocabulary = token_counts.vocabulary(queries.tokenizer_file("piece_bpe_32k.model"))
+    tok = tokenizers.Tokenizer(tokenizers.models.Unigram(vocabulary, 0, True))
+    tok.pre_tokenizer = tokenizers.pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    wanted = {(r.doc_id, r.text or "", len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in df.collect()}
+    counter = token_counts.Counter(vocabulary)
+    assert {(d, t, counter.count(t)) for d, t, _ in wanted} == wanted
+    assert sorted(n for _, n in token_counts.token_counts(df.dropDuplicates(["doc_id", "text"]), vocabulary).collect()) == sorted(n for _, _, n in wanted)
