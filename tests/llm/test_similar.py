@@ -57,3 +57,22 @@ def test_groups_of_several_blocks(spark):
     rows = [r for g in range(1, 5) for r in with_similarity(g, 100, 604, 4 * g)]
     rows += [(-5, "a b c d e f g"), (-6, "a  b c d\te f G")]  # one shingle set
     assert stage_left(spark, rows) == exact_left(rows) and len(exact_left(rows)) == 5
+
+
+def test_pairs_at_the_limit_are_found(spark):
+    # Pairs of similarities 0.80 to 0.82, of about 110, 330 and 880 shingles a side.
+    rows = []
+    for g in range(1, 121):
+        shared = (100, 300, 800)[g % 3]
+        rows += with_similarity(g, 2, shared + 4, shared // 9 if g % 2 else shared // 8 - 1)
+    assert stage_left(spark, rows) == exact_left(rows)
+
+
+def test_texts_of_few_shingles_at_the_limit(spark):
+    rows = []
+    for g in range(1, 61):  # 4 shingles inside 5, 8 inside 10 and so on, up to 48 inside 60; every fifth just below
+        n = 5 * (1 + g % 12)
+        body = words(g, n + 4)
+        rows += [(1000 * g, " ".join(body)), (1000 * g + 1, " ".join(body[: 4 * n // 5 + 4 - (g % 5 == 0)]))]
+    rows += [(10**6 + k, f"one line that all of these texts have {k} {k + 1} {k + 2} {k + 3}") for k in range(50)]
+    assert stage_left(spark, rows) == exact_left(rows)
