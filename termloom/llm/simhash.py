@@ -51,11 +51,16 @@ def shingles(text: bytes, size: int) -> list[bytes]:
     return [joined[a : b - 1] for a, b in zip(starts, ends[size - 1 :], strict=False)]
 
 
-def fingerprint(text: bytes, size: int, seeds: list[int], spread: int = 1) -> bytes:
-    """Big-endian 64-bit words, ``spread`` per seed: the hash itself and others mixed from it."""
+def fingerprint(text: bytes, size: int, seeds: list[int], spread: int = 1, distinct: bool = False) -> bytes:
+    """Big-endian 64-bit words, ``spread`` per seed: the hash itself and others mixed from it.
+
+    A shingle counts as often as it is in the text, or once if ``distinct``.
+    """
     import xxhash
 
     parts = shingles(text, size)
+    if distinct:
+        parts = list(set(parts))
     if not parts:
         return bytes(8 * len(seeds) * spread)
     out = b""

@@ -76,3 +76,17 @@ def test_texts_of_few_shingles_at_the_limit(spark):
         rows += [(1000 * g, " ".join(body)), (1000 * g + 1, " ".join(body[: 4 * n // 5 + 4 - (g % 5 == 0)]))]
     rows += [(10**6 + k, f"one line that all of these texts have {k} {k + 1} {k + 2} {k + 3}") for k in range(50)]
     assert stage_left(spark, rows) == exact_left(rows)
+
+
+def test_repeated_lines_are_no_difference(spark):
+    rows = []
+    for g, (n, line, times) in enumerate([(304, 10, 5), (1004, 12, 10), (204, 9, 60)], 1):
+        body = words(g, n)
+        rows += [(1000 * g, " ".join(body)), (1000 * g + 1, " ".join(body + body[40 : 40 + line] * times))]
+    assert stage_left(spark, rows) == exact_left(rows) and len(exact_left(rows)) == 3
+
+
+def test_stage_equals_exact_similarity(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").distinct().collect()
+    rows = [tuple(r) for r in docs]
+    assert stage_left(spark, rows) == exact_left(rows)
