@@ -90,3 +90,13 @@ def test_stage_equals_exact_similarity(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").distinct().collect()
     rows = [tuple(r) for r in docs]
     assert stage_left(spark, rows) == exact_left(rows)
+
+
+def test_rows_that_share_a_doc_id(spark):
+    near, far = words(1, 200), " ".join(words(2, 200))
+    text = lambda k: " ".join([*near[:k], "changed", *near[k + 1 :]])
+    rows = [(1, text(10)), (5, text(20)), (5, far), (7, text(30)), (7, text(40)), (None, " ".join(words(3, 9))), (None, " ".join(words(4, 9)))]
+    left = stage_left(spark, rows)
+    assert left == exact_left(rows) and {(1, text(10)), (5, far)} <= left and len(left) == 4
+    two = [(7, text(30)), (7, text(40))]
+    assert stage_left(spark, two) == exact_left(two) and len(exact_left(two)) == 1
