@@ -16,7 +16,9 @@ input, only the number of tasks does.
 Defined cases: a null or empty text, or one without words, has fingerprint
 zero, which links like any other; an empty table gives an empty result; rows
 that repeat a doc_id count as one document, joined to all that any of them
-links to; other columns of the input are ignored.
+links to; rows with a null doc_id are documents of their own, and a component
+without another doc_id has a null component_id; other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.components import components
-from termloom.llm.store import materialise
+from termloom.llm.store import materialise, small
 
 #: Fingerprints of a tile, and the most of a block (one side of a task).
 TILE = 1024
@@ -245,8 +247,24 @@ def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, seeds: tupl
     if coarse is not None and words < 3:
         raise ValueError("coarse needs fingerprints of three words or more")
     fps = materialise(fingerprints(docs, size, seeds, spread), "fingerprints")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = components(links(distinct, radius, words, coarse))
-    labelled = distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    # Nodes of the links are the least doc_id of their fingerprint, so the least node is the least doc_id.
+    # Each fingerprint has a number of its own in the links; a doc_id may be null or stand for several.
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id())
+    distinct = materialise(distinct, "distinct")  # stored, so that ``rep`` stays what it is
+    found = materialise(components(links(distinct.select("fp", "rep"), radius, words, coarse).unionByName(_shared(fps, distinct))), "components")
+    labelled = distinct.join(F.broadcast(found) if small(found) else found.hint("merge"), distinct.rep == found.node, "left")
+    labelled = materialise(labelled.select("fp", "least", F.coalesce("component", "rep").alias("group")), "labelled")
+    least = labelled.groupBy("group").agg(F.min("least").alias("component_id"))
+    least = materialise(least, "least")
+    labelled = labelled.join(F.broadcast(least) if small(least) else least.hint("merge"), "group").select("fp", "component_id")
     return fps.join(labelled.hint("merge"), "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def _shared(fps: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(a, b) links between the fingerprints that one doc_id has."""
+    key = F.xxhash64("fp")
+    several = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    several = materialise(several.where("low <> high").select("doc_id"), "several")
+    uses = fps.join(F.broadcast(several) if small(several) else several.hint("merge"), "doc_id").distinct()
+    uses = materialise(uses.join(distinct.select("fp", "rep").hint("merge"), "fp").select("doc_id", "rep"), "uses")
+    first = uses.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    return uses.join(F.broadcast(first) if small(first) else first.hint("merge"), "doc_id").select(F.col("rep").alias("a"), "b")
