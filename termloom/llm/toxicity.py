@@ -8,7 +8,8 @@ sentence weights, so the model can then point at the sentences that offend.
 
 The model is fitted on a sample of the labelled training rows in hash order:
 at most ``SAMPLE_ROWS`` rows and ``SAMPLE_CHARS`` characters in all (the
-documented bound of what reaches the driver). Scoring reads every row and
+documented bound of what reaches the driver); a text that the rest of the
+characters can't hold is passed over for the ones after it. Scoring reads every row and
 every whole text. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined cases: a null or empty text, or one without words, scores 0; with no
@@ -143,12 +144,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: in
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most ``rows`` rows, so it may be broadcast
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic").limit(rows)
+    texts = texts.where(F.length("text") <= chars).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic").limit(rows)
     got_texts, got_labels = [], []
     for r in texts.toLocalIterator():
+        if len(r.text) > chars:
+            continue
         chars -= len(r.text)
-        if chars < 0:
-            break
         got_texts.append(r.text)
         got_labels.append(r.toxic)
     return fit(got_texts, got_labels)

@@ -10,10 +10,10 @@ def test_simhash_with_null_and_shared_ids(spark):
     assert found == sorted([(None, None), (None, 2), (2, 2), (4, 2), (3, 3), (8, 8), (9, 8), (9, 8)], key=str)
 
 
-def test_a_long_text_does_not_end_the_toxicity_sample(spark):
-    rows = [(i, f"you {'awful' if i % 2 else 'kind'} person number {i}. " * 4) for i in range(300)]
+def test_a_long_text_does_not_end_the_toxicity_sample(spark, monkeypatch):
+    rows = [(i, f"text number {i}" * (4000 if i % 7 == 0 else 1)) for i in range(300)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
-    few = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, chars=30_000)
-    long = [(i, t * 400 if i % 7 == 0 else t) for i, t in rows]
-    model = toxicity.train(spark.createDataFrame(long, "doc_id long, text string"), labels, chars=30_000)
-    assert model.weights and few.weights
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: sorted(texts))
+    learned = docs.where(~toxicity.held_out(docs.doc_id)).where("doc_id % 7 <> 0")
+    assert toxicity.train(docs, labels, chars=30_000) == sorted(r.text for r in learned.collect())
