@@ -9,27 +9,36 @@ sentence weights, so the model can then point at the sentences that offend.
 The model is fitted on a sample of the labelled training rows in hash order:
 at most ``SAMPLE_ROWS`` rows and ``SAMPLE_CHARS`` characters in all (the
 documented bound of what reaches the driver); a text that the rest of the
-characters can't hold is passed over for the ones after it. Scoring reads every row and
-every whole text. Labels, lang, source and doc_id are no inputs of a score.
-
-Defined cases: a null or empty text, or one without words, scores 0; with no
-training rows or only one class, the model is the base rate alone; equal texts
-score equal; an empty table gives an empty result; other columns are ignored.
+characters can't hold is passed over for the ones after it. Rows are chosen by
+their keys and lengths, then read one at a time: the driver keeps the numbers
+of their features, never the texts. Scoring reads every row and every whole
+text. Labels, lang, source and doc_id are no inputs of a score.
+
+Defined cases: a null or empty text, or one without words, scores 0; a text of
+any length is scored whole; with no training rows or only one class, the model
+is the base rate alone; a null doc_id is never learned from and is scored as
+any other; rows that repeat a doc_id and its text are learned from once; of a
+doc_id with several labels the larger counts; equal texts score equal; an
+empty table gives an empty result; other columns are ignored, whatever their
+names, and ``keep_clean`` passes them through.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import tee
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm.store import materialise
+
 SAMPLE_ROWS = 6_000
 SAMPLE_CHARS = 24_000_000
 THRESHOLD = 0.7
@@ -100,34 +109,96 @@ class Model:
         return found
 
 
-def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
+class Bags:
+    """The sentences of labelled texts as arrays of feature numbers, taken in one text at a time.
+
+    Of a text only the numbers of its sentences' features stay (four bytes
+    each), and the feature table has each feature once.
+    """
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.documents = array("i")  # of each feature: in how many texts it is
+        self.features, self.sizes, self.sentences, self.labels = array("i"), array("i"), array("i"), array("b")
+
+    def add(self, text: str, label: int) -> None:
+        numbers, seen, count = self.numbers, set(), 0
+        for words in _sentences(text):
+            ids = {numbers.setdefault(f, len(numbers)) for w in set(words) for f in _features(w)}
+            self.features.extend(sorted(ids))
+            self.sizes.append(len(ids))
+            seen |= ids
+            count += 1
+        self.documents.extend([0] * (len(numbers) - len(self.documents)))
+        for i in seen:
+            self.documents[i] += 1
+        self.sentences.append(count)
+        self.labels.append(int(label))
+
+    def matrix(self) -> Matrix:
+        """What is learned from: the features of ``LEAST_DOCUMENTS`` texts or more, in their own order. Empties the bags."""
+        kept = sorted(f for f, i in self.numbers.items() if self.documents[i] >= LEAST_DOCUMENTS)
+        column = np.full(len(self.numbers), -1, dtype=np.int32)
+        column[[self.numbers[f] for f in kept]] = np.arange(len(kept), dtype=np.int32)
+        self.numbers = {}
+        feature = column[np.frombuffer(self.features, dtype=np.int32)]
+        self.features = array("i")
+        known = feature >= 0
+        sentence = np.repeat(np.arange(len(self.sizes), dtype=np.int32), np.frombuffer(self.sizes, dtype=np.int32))[known]
+        document = np.repeat(np.arange(len(self.labels), dtype=np.int32), np.frombuffer(self.sentences, dtype=np.int32))
+        return Matrix(kept, sentence, feature[known], document, np.frombuffer(self.labels, dtype=np.int8).astype(np.float64))
+
+
+class Matrix:
+    """Sentences by features, in both orders, and the bag and label of each sentence's document."""
+
+    def __init__(self, names: list[str], sentence: np.ndarray, feature: np.ndarray, document: np.ndarray, labels: np.ndarray) -> None:
+        self.names, self.document, self.labels = names, document, labels
+        self.rows = _Sums(sentence, feature, len(document))
+        by_feature = np.argsort(feature, kind="stable").astype(np.int32)
+        self.columns = _Sums(feature[by_feature], sentence[by_feature], len(names))
+
+    def gradient(self, weights: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        """Of the mean log loss of the documents' noisy-or, by weights and bias."""
+        z = np.clip(bias + self.rows.of(weights), -40, 40)
+        off = np.bincount(self.document, -np.logaddexp(0, z), len(self.labels))  # log of the chance that no sentence is toxic
+        none = np.exp(np.minimum(off, -1e-9))
+        pull = np.where(self.labels > 0, -none / (1 - none), 1.0)[self.document] / (1 + np.exp(-z))
+        return self.columns.of(pull) / len(self.labels), pull.sum() / len(self.labels)
+
+
+class _Sums:
+    """Sums of a vector's values over sorted groups, some entries at a time."""
+
+    STEP = 1 << 20
+
+    def __init__(self, group: np.ndarray, index: np.ndarray, groups: int) -> None:
+        self.index, self.groups = index, groups
+        sizes = np.bincount(group, minlength=groups)
+        self.present = np.flatnonzero(sizes)
+        self.starts = np.concatenate([[0], np.cumsum(sizes[self.present])[:-1]]).astype(np.int64)
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.groups)
+        at, n = 0, len(self.starts)
+        while at < n:  # as many whole groups as fit, one at least
+            last = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + self.STEP)))
+            end = self.starts[last] if last < n else len(self.index)
+            out[self.present[at:last]] = np.add.reduceat(values[self.index[self.starts[at] : end]], self.starts[at:last] - self.starts[at])
+            at = last
+        return out
+
+
+def learn(bags: Bags, steps: int = STEPS) -> Model:
     """Full-batch Adam on the noisy-or loss; deterministic."""
-    y = np.array(labels, dtype=np.float64)
-    rate = y.mean() if len(y) else 0.0
-    bags = [_sentences(t) for t in texts]
+    rate = sum(bags.labels) / len(bags.labels) if bags.labels else 0.0
     if not 0 < rate < 1:
         return Model(bias=-12.0 if not rate else 0.0)
-    seen = Counter(f for bag in bags for f in {f for s in bag for w in set(s) for f in _features(w)})
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= LEAST_DOCUMENTS))}
-    doc_of, sent_of, word_of = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            ids = {vocabulary[f] for w in set(s) for f in _features(w) if f in vocabulary}
-            sent_of += [len(doc_of)] * len(ids)
-            word_of += sorted(ids)
-            doc_of.append(d)
-    doc, sent, word = (np.array(x, dtype=np.int64) for x in (doc_of, sent_of, word_of))
-    n_sent, n_word = len(doc), len(vocabulary)
-    w, b = np.zeros(n_word), -6.0
-    m, v, mb, vb = np.zeros(n_word), np.zeros(n_word), 0.0, 0.0
+    data = bags.matrix()
+    w, b = np.zeros(len(data.names)), -6.0
+    m, v, mb, vb = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.clip(b + np.bincount(sent, w[word], n_sent), -40, 40)
-        p = 1 / (1 + np.exp(-z))
-        off = np.bincount(doc, -np.logaddexp(0, z), len(y))  # log of the chance that no sentence is toxic
-        none = np.exp(np.minimum(off, -1e-9))
-        pull = np.where(y > 0, -none / (1 - none), 1.0)[doc] * p
-        g = np.bincount(word, pull[sent], n_word) / len(y)
-        gb = pull.sum() / len(y)
+        g, gb = data.gradient(w, b)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
@@ -135,24 +206,39 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
         w -= pace * m / c1
         w = np.sign(w) * np.maximum(np.abs(w) - pace * PENALTY, 0)  # most features end at no weight
         b -= 0.05 * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    return Model(float(b), {x: float(w[i]) for x, i in vocabulary.items() if w[i]})
+    return Model(float(b), {data.names[i]: float(w[i]) for i in np.flatnonzero(w)})
+
+
+def fit(texts: Iterable[str], labels: Iterable[int], steps: int = STEPS) -> Model:
+    """The model of texts and their labels; the texts are read once and not kept."""
+    bags = Bags()
+    for text, label in zip(texts, labels, strict=True):
+        bags.add(text, label)
+    return learn(bags, steps)
+
+
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(text, toxic): the bounded sample, chosen by keys and lengths before any text moves."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("toxic"))
+    first = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)  # at most ``rows`` rows, so it may be broadcast
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(first), "_id")
+    texts = materialise(texts.withColumns({"sha": F.sha2("text", 256), "n": F.length("text")}), "labelled")
+    keys = texts.select("_id", "sha", "n").distinct().orderBy(F.xxhash64("_id"), "_id", "sha").limit(rows).collect()  # at most ``rows`` short rows
+    chosen = []
+    for r in keys:
+        if r.n <= chars:
+            chars -= r.n
+            chosen.append((r._id, r.sha, len(chosen)))
+    picked = docs.sparkSession.createDataFrame(chosen, "_id long, sha string, place int")
+    once = texts.join(F.broadcast(picked), ["_id", "sha"]).groupBy("place").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    return once.orderBy("place").select("text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """Fit on a bounded sample of the rows that are labelled and not held out."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most ``rows`` rows, so it may be broadcast
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    texts = texts.where(F.length("text") <= chars).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic").limit(rows)
-    got_texts, got_labels = [], []
-    for r in texts.toLocalIterator():
-        if len(r.text) > chars:
-            continue
-        chars -= len(r.text)
-        got_texts.append(r.text)
-        got_labels.append(r.toxic)
-    return fit(got_texts, got_labels)
+    texts, toxic = tee(sample(docs, labels, rows, chars).toLocalIterator())  # a partition at a time
+    return fit((r.text for r in texts), (r.toxic for r in toxic))
 
 
 def score(docs: DataFrame, model: Model, locate: bool = False) -> DataFrame:
