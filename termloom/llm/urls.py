@@ -11,9 +11,14 @@ numbers and does not depend on order. Training reads the small table alone
 (its size is fixed by the caller and checked); the judging of a table is a
 projection, without a shuffle.
 
-Defined cases: a null address, or one without ``://``, has empty host and path
-and gets the verdict ``allow``, as has an address with an empty host; an empty
-table gives an empty result; rows may repeat; other columns are ignored.
+The default table is made from lists of words, as pairs and alone, on a domain
+of its own; it has no host of any page. Held-out hosts are measured in the
+tests.
+
+Defined cases: a null address, or one without ``://``, has empty host and path,
+and the model judges those as any other; addresses of any length are read
+whole; an empty table gives an empty result; rows may repeat; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,34 +30,31 @@ from pyspark.sql import functions as F
 BUCKETS = 4096
 SIZES = (3, 4)
 MOST_LABELLED = 20_000
+#: Score in millionths above which an address is blocked: even odds.
+BLOCK_ABOVE = 0
 #: (rule, verdict)
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
-_BAD = """casino-online.example poker-win.example free-bets.example bets-live.example slots-bonus.example cheap-pills.example
-pills-online.example pharmacy-cheap.example viagra-shop.example adult-x.example xxx-video.example hot-adult.example sex-cams.example
-porn-tube.example escort-city.example spam-farm.example link-farm.example seo-spam.example ads-track.example ad-track.example
-track-click.example popunder-ads.example click-ads.example free-money.example easy-loan.example payday-loans.example crypto-win.example
-casino-win.example jackpot-win.example lottery-win.example replica-watch.example cheap-replica.example warez-crack.example
-keygen-crack.example torrent-free.example miracle-diet.example weight-pills.example bet-casino.example win-prizes.example
-free-gift.example malware-load.example phish-login.example""".split()
-_GOOD = """library.example museum.example weather.example city-news.example daily-news.example history.example university.example
-research.example gardens.example cooking.example recipes.example travel-guide.example railways.example parliament.example
-courts.example medicine.example hospital.example school.example physics.example chemistry.example biology.example
-mathematics.example software.example docs.example handbook.example wiki.example archive.example journal.example letters.example
-theatre.example orchestra.example painting.example football.example cycling.example mountains.example rivers.example
-farming.example bakery.example carpentry.example astronomy.example election.example economy.example there.example nation.example
-northern.example thing.example""".split()
-_PATHS = ("/en/12", "/de/article/345.html", "/", "/fr/678?page=2")
+_UNWANTED = """casino poker bets betting slots jackpot lottery win bonus roulette pills pharmacy viagra diet adult porn sex cams xxx escort
+spam farm seo ads adserver click popunder track tracker loan loans payday cash crypto cheap free discount replica warez crack keygen torrent prizes
+malware phish""".split()
+_ORDINARY = """library museum weather city news history university research garden cooking recipes travel guide railway parliament court medicine
+hospital school physics chemistry biology mathematics software docs handbook wiki archive journal letters theatre orchestra painting football cycling
+mountain river farming bakery carpentry astronomy election economy nation north south other another thing together mother weekend winter window
+teacher father bathroom within thread thunder eastern western reader street station letter country people water paper answer house number""".split()
+_PATHS = ("/en/12", "/de/article/345.html", "/", "/fr/678?page=2", "/es/90?ref=x")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small table: addresses of unwanted (1) and ordinary (0) sites, each host on three domains and four paths."""
+    """The small table: addresses of unwanted (1) and ordinary (0) sites, words alone and joined to others of their list, on five paths."""
     rows = []
-    for hosts, label in ((_BAD, 1), (_GOOD, 0)):
+    for words, label in ((_UNWANTED, 1), (_ORDINARY, 0)):
+        hosts = [*words, *(f"{w}-{words[(i + step) % len(words)]}" for step in (1, 3, 7) for i, w in enumerate(words))]
+        if not label:
+            hosts += [w + words[(i + 5) % len(words)] for i, w in enumerate(words)]
         for i, host in enumerate(hosts):
-            for j, path in enumerate(_PATHS):
-                sub, domain = ("", "www.", "blog.", "m.")[(i + j) % 4], ("com", "net", "org")[(i + j) % 3]
-                rows.append((f"https://{sub}{host}.{domain}{path}", label))
+            sub, domain = ("", "www.", "blog.", "m.")[i % 4], ("com", "net", "org")[i % 3]
+            rows.append((f"https://{sub}{host}.training.{domain}{_PATHS[i % 5]}", label))
     return rows
 
 
@@ -85,16 +87,25 @@ def grams(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(*found))
 
 
-def train(labelled: DataFrame, steps: int = 400) -> tuple[list[int], int]:
-    """(weights, bias) in millionths, from a table (url, label) of at most MOST_LABELLED rows."""
-    host, path = split_url(F.col("url"))
-    rows = labelled.where("label in (0, 1)").select("url", grams(host, path).alias("g"), "label").orderBy("url", "label").limit(MOST_LABELLED + 1).collect()
-    if len(rows) > MOST_LABELLED:
-        raise ValueError(f"the labelled table has more than {MOST_LABELLED} rows")
+def grams_of(host: str, path: str) -> list[int]:
+    """``grams`` of one address, without Spark."""
+    found = []
+    for text, base in ((f"^{host}$", 0), (path, 16)):
+        for n in SIZES:
+            for at in range(len(text) - n + 1):
+                h = base + n
+                for c in text[at : at + n]:
+                    h = h * 257 + ord(c)
+                found.append(h % 65521 % BUCKETS)
+    return list(dict.fromkeys(found))
+
+
+def fit(rows: list[tuple[list[int], int]], steps: int = 400) -> tuple[list[int], int]:
+    """(weights, bias) in millionths, from rows of buckets and label, by gradient steps from nothing; deterministic."""
     weights, bias = np.zeros(BUCKETS), 0.0
-    y = np.array([r.label for r in rows], dtype=float)
-    row = np.repeat(np.arange(len(rows)), [len(r.g) for r in rows])
-    col = np.array([b for r in rows for b in r.g], dtype=np.int64)
+    y = np.array([label for _, label in rows], dtype=float)
+    row = np.repeat(np.arange(len(rows)), [len(g) for g, _ in rows])
+    col = np.array([b for g, _ in rows for b in g], dtype=np.int64)
     for _ in range(steps if rows else 0):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[col], len(rows)) + bias, -30, 30)))
         weights -= 0.5 * (np.bincount(col, (p - y)[row], BUCKETS) / len(rows) + 1e-4 * weights)
@@ -102,6 +113,15 @@ def train(labelled: DataFrame, steps: int = 400) -> tuple[list[int], int]:
     return [round(w * 1e6) for w in weights.tolist()], round(bias * 1e6)
 
 
+def train(labelled: DataFrame, steps: int = 400) -> tuple[list[int], int]:
+    """(weights, bias) from a table (url, label) of at most MOST_LABELLED rows."""
+    host, path = split_url(F.col("url"))
+    rows = labelled.where("label in (0, 1)").select("url", grams(host, path).alias("g"), "label").orderBy("url", "label").limit(MOST_LABELLED + 1).collect()
+    if len(rows) > MOST_LABELLED:
+        raise ValueError(f"the labelled table has more than {MOST_LABELLED} rows")
+    return fit([(r.g, r.label) for r in rows], steps)
+
+
 def default_model(spark: SparkSession) -> tuple[list[int], int]:
     return train(spark.createDataFrame(labelled_urls(), "url string, label int"))
 
@@ -117,13 +137,13 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
 
 
 def judge(pages: DataFrame, model: tuple[list[int], int], rules: list[tuple[str, str]] | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict and the model's score in millionths (null under a rule)."""
+    """page_id, host, path, rule, verdict and the model's score in millionths (a rule's verdict stands whatever the score)."""
     weights, bias = model
     host, path = split_url(F.col("url"))
     rule, says = fitting_rule(F.col("host"), F.col("path"), RULES if rules is None else rules)
     parts = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "_says": says})
     table = F.array(*[F.lit(w) for w in weights]) if len(weights) <= 64 else F.from_json(F.lit(str(weights)), "array<bigint>")
     total = F.aggregate(grams(F.col("host"), F.col("path")), F.lit(bias).cast("long"), lambda s, b: s + F.get(F.col("_w"), b.cast("int")))
-    scored = parts.withColumn("_w", table).withColumn("score", F.when(F.col("rule").isNull() & (F.col("host") != ""), total))
-    model_says = F.when(F.col("score") > 0, "block").otherwise("allow")
+    scored = parts.withColumn("_w", table).withColumn("score", total)
+    model_says = F.when(F.col("score") > BLOCK_ABOVE, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("_says", model_says).alias("verdict"), "score")
