@@ -18,11 +18,12 @@ zero, which links like any other; an empty table gives an empty result; rows
 that repeat a doc_id count as one document, joined to all that any of them
 links to; rows with a null doc_id are documents of their own, and a component
 without another doc_id has a null component_id; other columns of the input are
-ignored.
+ignored, whatever their names; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.components import components
-from termloom.llm.store import materialise, small
+from termloom.llm.store import BROADCAST_ROWS, materialise, small
 
 #: Fingerprints of a tile, and the most of a block (one side of a task).
 TILE = 1024
@@ -217,10 +218,12 @@ def links(distinct: DataFrame, radius: int, words: int = 1, coarse: int | None =
             held = e.rows
         joined[-1].append(e)
     spans = [(min(e.low for e in es), max(e.high for e in es)) for es in joined]
-    pairs = [(x, y) for x in range(len(spans)) for y in range(x, len(spans)) if spans[y][0] - spans[x][1] <= radius and spans[x][0] - spans[y][1] <= radius]
-    sides = [(e.part, b, x, y) for x, y in pairs for b in {x, y} for e in joined[b]]
-    schema = "part int, block int, pair_a int, pair_b int"
-    table = tiled.sparkSession.createDataFrame(sides or [(-1, -1, -1, -1)], schema)
+    # Blocks lie in order of their counts, so those that one must meet follow it without a gap: up to ``reach``, and from ``first`` on
+    # those that reach it. This is one row a range; the pairs, which are many more, are made on the executors.
+    reach = [bisect.bisect_right([s[0] for s in spans], high + radius) - 1 for _, high in spans]
+    first = [bisect.bisect_left(reach, b) for b in range(len(spans))]
+    ranges = tiled.sparkSession.createDataFrame([(e.part, b, first[b], reach[b]) for b, es in enumerate(joined) for e in es] or [(-1, -1, -1, -1)], "part int, block int, first int, reach int")
+    pairs = sum(last - b + 1 for b, last in enumerate(reach))
 
     def work(key: tuple, tables: pa.Table) -> pa.Table:
         sides = {0: [], 1: []}
@@ -232,9 +235,11 @@ def links(distinct: DataFrame, radius: int, words: int = 1, coarse: int | None =
         return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64())})
 
     # A pair of blocks is the unit of work and of memory; a task takes one or, where there are very many, several in turn.
-    tasks = min(max(len(pairs), 1), max(MOST_TASKS, 4 * tiled.sparkSession.sparkContext.defaultParallelism))
-    dealt = tiled.select("part", "tile", "fps", "ids").join(F.broadcast(table), "part").repartition(tasks, "pair_a", "pair_b")
-    return dealt.groupBy("pair_a", "pair_b").applyInArrow(work, "a long, b long")
+    tasks = min(max(pairs, 1), max(MOST_TASKS, 4 * tiled.sparkSession.sparkContext.defaultParallelism))
+    held = tiled.select("part", "tile", "fps", "ids").join(F.broadcast(ranges) if len(ends) <= BROADCAST_ROWS else ranges.hint("merge"), "part")
+    dealt = held.withColumn("other", F.explode(F.sequence("first", "reach")))
+    dealt = dealt.select("part", "tile", "fps", "ids", "block", F.least("block", "other").alias("pair_a"), F.greatest("block", "other").alias("pair_b"))
+    return dealt.repartition(tasks, "pair_a", "pair_b").groupBy("pair_a", "pair_b").applyInArrow(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, seeds: tuple[int, ...] = (42,), spread: int = 1, coarse: int | None = None) -> DataFrame:
