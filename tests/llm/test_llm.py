@@ -187,27 +187,26 @@ def test_pipeline_stages(spark, docs):
 
 
 def test_near_duplicate_stage_equals_brute_force(spark, docs):
+    """A link is a similarity of 0.8 or more between shingle sets. (This test once compared fingerprints alone and so asked for
+    documents below that limit to be dropped.)"""
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]
     body = [f"word{i * i % 997}" for i in range(400)]
     rows += [(10**6 + k, " ".join([*body[:k], "changed", *body[k + 1 :]])) for k in range(0, 60, 10)]  # near copies
     rows += [(2 * 10**6, " ".join(body[:150] + [f"other{i}" for i in range(250)]))]  # shares a passage only
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    prints = {}
-    for d, t in rows:
-        fp = simhash.fingerprint(t.encode(), corpus_pipeline.SHINGLE, [42], corpus_pipeline.SPREAD)
-        prints[d] = int.from_bytes(fp, "big")
-    root = {d: d for d in prints}
+    sets = {d: set(simhash.shingles(t.encode(), corpus_pipeline.SHINGLE)) for d, t in rows}
+    root = {d: d for d in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    order = sorted(prints)
+    order = sorted(sets)
     for i, a in enumerate(order):
         for b in order[:i]:
-            x = prints[a] ^ prints[b]
-            if x.bit_count() <= corpus_pipeline.RADIUS and (x >> 384).bit_count() <= corpus_pipeline.COARSE:
+            common = len(sets[a] & sets[b])
+            if 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SMALL).collect()}
