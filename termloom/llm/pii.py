@@ -35,11 +35,10 @@ is that of the new text where that has changed; an input column named
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm.bind import let
 from termloom.llm.store import discard, materialise
 
 _TITLE_M = r"(?:Mr|Herr|Hr|Señor|Sr|Monsieur|Sir|Don|Г-н|господин)"
@@ -145,11 +144,6 @@ def _number(stream: Column, at: int, width: int = 8) -> Column:
     return F.conv(F.substring(stream, at, width), 16, 10).cast("long")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _shape(canon: Column, head: Column, stream: Column) -> Column:
     """Each letter and digit after ``head`` replaced by one of its class, by the stream; longer ones reuse it, shifted."""
     hexadecimal = canon.rlike("^[0-9a-f]{8,}$")
@@ -161,10 +155,10 @@ def _shape(canon: Column, head: Column, stream: Column) -> Column:
             kind = F.when(F.rlike(c, F.lit(cls)), alphabet).otherwise(kind)
         kind = F.when(own["hexadecimal"] & c.between("a", "f"), "abcdef").otherwise(kind)
         n = F.conv(F.substr(own["stream"], (i * 2) % 126 + 1, F.lit(2)), 16, 10).cast("int") + F.floor(i / 63).cast("int") * 7
-        return F.when(i < own["head"], c).otherwise(F.coalesce(_let(kind, lambda a: F.substr(a, n % F.length(a) + 1, F.lit(1))), c))
+        return F.when(i < own["head"], c).otherwise(F.coalesce(let(kind, lambda a: F.substr(a, n % F.length(a) + 1, F.lit(1))), c))
 
     bound = F.struct(stream.alias("stream"), head.alias("head"), hexadecimal.alias("hexadecimal"))
-    return _let(bound, lambda own: F.array_join(F.transform(chars, lambda c, i: one(c, i, own)), ""))
+    return let(bound, lambda own: F.array_join(F.transform(chars, lambda c, i: one(c, i, own)), ""))
 
 
 def _spelled(stream: Column, syllables: list[str], count: Column) -> Column:
@@ -182,7 +176,7 @@ def _luhn(body: Column) -> Column:
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The surrogate of a canonical entity, as drawn at an attempt."""
-    return _let(_stream(key, kind, canon, attempt, 0), lambda stream: _let(_shape(canon, _head(kind, canon), stream), lambda shaped: _drawn(kind, canon, attempt, stream, shaped)))
+    return let(_stream(key, kind, canon, attempt, 0), lambda stream: let(_shape(canon, _head(kind, canon), stream), lambda shaped: _drawn(kind, canon, attempt, stream, shaped)))
 
 
 def _head(kind: Column, canon: Column) -> Column:

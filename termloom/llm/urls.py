@@ -27,6 +27,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.llm.bind import let
+
 BUCKETS = 4096
 SIZES = (3, 4)
 MOST_LABELLED = 20_000
@@ -82,9 +84,10 @@ def grams(host: Column, path: Column) -> Column:
 
         return F.transform(at, bucket)
 
-    marked_host, marked_path = chars(F.concat(F.lit("^"), host, F.lit("$"))), chars(path)
-    found = [part(marked_host, n, n) for n in SIZES] + [part(marked_path, n, 16 + n) for n in SIZES]
-    return F.array_distinct(F.concat(*found))
+    def all_of(c: Column) -> Column:
+        return F.concat(*[part(c["host"], n, n) for n in SIZES], *[part(c["path"], n, 16 + n) for n in SIZES])
+
+    return F.array_distinct(let(F.struct(chars(F.concat(F.lit("^"), host, F.lit("$"))).alias("host"), chars(path).alias("path")), all_of))
 
 
 def grams_of(host: str, path: str) -> list[int]:
