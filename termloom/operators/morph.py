@@ -1,15 +1,12 @@
 """Morphemes to search tokens: phrase groups and the three tokenization modes.
 
 Input is a table of morphemes (see ``MORPHEME``); a tagger is not part of this
-library. Offsets and groups are windows over one document; the similarity and
-keyword modes are an aggregation, and the standard mode, whose tokens are
-inserted in relation to each other, is one Arrow function over the groups.
+library. Offsets and groups are windows over one document, the tokens of a
+phrase are expressions over the array of its units: all of it runs in the JVM.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,77 +137,75 @@ def _kept(mode: str) -> Column:
     return (F.size("units") > 1) | ~gone
 
 
-@dataclass
-class _Token:
-    surface: str
-    type: str
-    pos: str | None
-    sem: str | None
-    incr: int
-    len: int
-    start: int
-
-    def row(self) -> tuple:
-        term = f"{self.surface}/{self.type}" if self.type in ("VV", "VA") else self.surface
-        return term, self.type, self.pos, self.sem, self.incr, self.len, self.start, self.start + len(self.surface)
-
-
-def _merged(left: _Token, right: _Token, kind: str, incr: int) -> _Token:
-    return _Token(left.surface + right.surface, kind, None, None, incr, left.len + right.len, left.start)
-
-
-def standard_tokens(units: list, decompounded: bool, use_original_form: bool = True) -> list[tuple]:
-    """Tokens of one phrase in standard mode, in output order."""
-    absolute = ABSOLUTE | {"VA", "VV"} if use_original_form else ABSOLUTE
-    parts = [(_Token(u["surface"], u["type"], u["raw"], u["sem"], 1, u["len"], u["start"]), u["expr"]) for u in units]
-    whole = "".join(u["surface"] for u in units)
-    if len(parts) > 1 and parts[0][0].type == "XPN" and parts[1][0].type in ("NNG", "NR", "NP"):
-        if parts[0][0].surface in INDEPENDENT_PREFIXES:
-            decompounded = True
-        else:
-            noun = _merged(parts[0][0], parts[1][0], "NNG", 1)
-            noun.len = 1
-            parts[:2] = [(noun, None)]
-    found: list[_Token] = []
-    if decompounded:
-        lead = []
-        for token, _ in parts:
-            if token.type not in absolute:
-                break
-            if lead:
-                tiny = all(t.type in ("NNG", "NNP") and len(t.surface) == 1 for t in (lead[-1], token))
-                if not tiny:
-                    found.append(_merged(lead[-1], token, "COMPOUND", 0))
-            found.append(token)
-            lead.append(token)
-        if len(lead) > 2:
-            whole_noun = lead[0]
-            for token in lead[1:]:
-                whole_noun = _merged(whole_noun, token, "COMPOUND", 0)
-            found.insert(1, whole_noun)
-    else:
-        for token, expr in parts:
-            if token.type in absolute:
-                token.incr = 0
-                found.append(token)
-            if token.type == "INFLECT" and expr:
-                items = expr.split("+")[0].split("/")
-                if len(items) == 3:
-                    kind = "J" if items[1][:1] == "J" else "E" if items[1][:1] == "E" else items[1] if items[1] in TAGS else "UNKNOWN"
-                    if kind in absolute and len(items[0]) <= len(token.surface):
-                        found.append(_Token(items[0], kind, items[1], None if items[2] == "*" else items[2], 0, 1, token.start))
-    pos = "+".join(t.pos or "" for t, _ in parts) or None
-    if len(parts) == 1:
-        only = parts[0][0]
-        only.incr = 1
-        found = [only, *(t for t in found if t is not only)]
-    elif decompounded and found:
-        phrase = _Token(whole, "EOJEOL", pos, None, 0, sum(t.incr for t in found), units[0]["start"])
-        if len(found) < 2 or (found[1].start, len(found[1].surface)) != (phrase.start, len(phrase.surface)):
-            found.insert(1, phrase)
-    else:
-        found.insert(0, _Token(whole, "EOJEOL", pos, None, 1, 1, units[0]["start"]))
-    return [t.row() for t in found]
+def _token(first: Column, second: int, surface: Column, kind: Column, pos: Column, sem: Column, incr: Column, length: Column, start: Column) -> Column:
+    """A token with its place (first, second) in the order of its phrase."""
+    term = F.when(kind.isin("VV", "VA"), F.concat_ws("/", surface, kind)).otherwise(surface)
+    fields = {"first": first.cast("int"), "second": F.lit(second), "term": term, "type": kind, "pos": pos.cast("string"), "sem": sem.cast("string"),
+              "pos_incr": incr.cast("int"), "pos_len": length.cast("int"), "start_off": start.cast("int"), "end_off": (start + F.length(surface)).cast("int")}
+    return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+
+def _joined(units: Column) -> Column:
+    return F.array_join(F.transform(units, lambda u: u["surface"]), "")
+
+
+def standard_tokens(groups: DataFrame, use_original_form: bool = True) -> DataFrame:
+    """``groups`` with ``tokens``: those of each phrase in standard mode, in output order.
+
+    A phrase's tokens are spans over its units, each with its place in the
+    order. Decompounded: of the leading units that are words of their own, each
+    one, each two neighbours (before the later of them), all of them, and the
+    phrase; the last two stand after the first unit. Otherwise: the phrase,
+    then its words, each with the stem that an inflected one stands for.
+    """
+    none, zero, one = F.lit(None), F.lit(0), F.lit(1)
+    absolute = sorted(ABSOLUTE | {"VA", "VV"} if use_original_form else ABSOLUTE)
+    a, b = F.get("units", zero), F.get("units", one)
+    prefixed = F.coalesce((a["type"] == "XPN") & b["type"].isin("NNG", "NR", "NP"), F.lit(False))
+    apart = prefixed & a["surface"].isin(*sorted(INDEPENDENT_PREFIXES))
+    slim = lambda u: F.struct(u["surface"].alias("surface"), u["raw"].alias("raw"), u["sem"].alias("sem"), u["type"].alias("type"), u["len"].cast("int").alias("len"), u["start"].cast("int").alias("start"), u["expr"].alias("expr"))
+    noun = F.struct(F.concat(a["surface"], b["surface"]).alias("surface"), none.cast("string").alias("raw"), none.cast("string").alias("sem"), F.lit("NNG").alias("type"), one.alias("len"), a["start"].cast("int").alias("start"), none.cast("string").alias("expr"))
+    plain = F.transform("units", slim)
+    made = groups.select(
+        "doc_id", "eojeol", (F.col("decompounded") | apart).alias("dec"),
+        F.when(prefixed & ~apart, F.concat(F.array(noun), F.slice(plain, 3, F.greatest(F.size("units") - 2, zero)))).otherwise(plain).alias("u"),
+    )
+    made = made.withColumn("n", F.array_position(F.transform("u", lambda x: x["type"].isin(*absolute)), F.lit(False)).cast("int"))
+    made = made.withColumn("n", F.when(F.col("n") == 0, F.size("u")).otherwise(F.col("n") - 1))
+    made = made.withColumn("lead", F.slice("u", 1, F.col("n")))
+    u, lead, n = F.col("u"), F.col("lead"), F.col("n")
+    start = F.get(u, zero)["start"]
+    tags = F.array_join(F.transform(u, lambda x: F.coalesce(x["raw"], F.lit(""))), "+")
+    tags = F.when(tags != "", tags)
+    phrase = lambda first, second, incr, length: _token(first, second, _joined(u), F.lit("EOJEOL"), tags, none, incr, length, start)
+    word = lambda x, i, incr: _token(i, 2, x["surface"], x["type"], x["raw"], x["sem"], incr, x["len"], x["start"])
+    total = lambda units: F.aggregate(units, zero, lambda s, x: s + x["len"])
+    empty = F.filter(F.array(phrase(zero, 0, one, one)), lambda x: F.lit(False))
+
+    tiny = lambda x: x["type"].isin("NNG", "NNP") & (F.length(x["surface"]) == 1)
+    places = F.when(n > 1, F.sequence(one, n - 1)).otherwise(F.array().cast("array<int>"))
+    places = F.filter(places, lambda i: ~(tiny(F.get(lead, i - 1)) & tiny(F.get(lead, i))))
+    two = F.transform(places, lambda i: _token(i, 1, F.concat(F.get(lead, i - 1)["surface"], F.get(lead, i)["surface"]), F.lit("COMPOUND"), none, none, zero, F.get(lead, i - 1)["len"] + F.get(lead, i)["len"], F.get(lead, i - 1)["start"]))
+    every = F.when(n > 2, F.array(_token(zero, 4, _joined(lead), F.lit("COMPOUND"), none, none, zero, total(lead), start))).otherwise(empty)
+    spelled = (n == F.size(u)) & ((n > 2) | (F.size(places) == 1))  # a compound covers the phrase already
+    apart_tokens = F.concat(F.transform(lead, lambda x, i: word(x, i, one)), two, every, F.when(spelled, empty).otherwise(F.array(phrase(zero, 3, zero, n))))
+
+    def stem(x: Column, i: Column) -> Column:
+        item = F.split(F.get(F.split(x["expr"], r"\+"), zero), "/")
+        kind = tag_of(F.get(item, one))
+        fits = F.coalesce((x["type"] == "INFLECT") & (F.size(item) == 3) & kind.isin(*absolute) & (F.length(F.get(item, zero)) <= F.length(x["surface"])), F.lit(False))
+        return F.when(fits, _token(i, 3, F.get(item, zero), kind, F.get(item, one), F.nullif(F.get(item, F.lit(2)), F.lit("*")), zero, one, x["start"]))
+
+    stems = F.filter(F.transform(u, stem), lambda x: x.isNotNull())
+    words = F.filter(F.transform(u, lambda x, i: F.when(x["type"].isin(*absolute), word(x, i, zero))), lambda x: x.isNotNull())
+    alone = F.array(word(F.get(u, zero), zero, one))
+    tokens = (
+        F.when(F.size(u) == 1, F.when(F.col("dec"), alone).otherwise(F.concat(alone, stems)))
+        .when(F.col("dec") & (n > 0), apart_tokens)
+        .when(F.col("dec"), F.array(phrase(F.lit(-1), 0, one, one)))
+        .otherwise(F.concat(F.array(phrase(F.lit(-1), 0, one, one)), words, stems))
+    )
+    return made.select("doc_id", "eojeol", F.sort_array(tokens).alias("tokens"))
 
 
 def tokenize(morphemes: DataFrame, mode: str = "standard", min_len: int = 3, use_original_form: bool = True) -> DataFrame:
@@ -219,9 +214,7 @@ def tokenize(morphemes: DataFrame, mode: str = "standard", min_len: int = 3, use
         raise ValueError(f"unknown mode {mode!r}")
     groups = _groups(eojeols(morphemes, mode, min_len)).where(_kept(mode))
     if mode == "standard":
-        token = "array<struct<term: string, type: string, pos: string, sem: string, pos_incr: int, pos_len: int, start_off: int, end_off: int>>"
-        emit = F.udf(lambda units, flag: standard_tokens(units, flag, use_original_form), token, useArrow=True)
-        rows = groups.select("doc_id", "eojeol", F.posexplode(emit("units", "decompounded")).alias("_i", "t")).select("doc_id", "eojeol", "_i", "t.*")
+        rows = standard_tokens(groups, use_original_form).select("doc_id", "eojeol", F.posexplode("tokens").alias("_i", "t")).select("doc_id", "eojeol", "_i", "t.*")
     else:
         one, many = F.get("units", F.lit(0)), F.size("units") > 1
         surface = F.array_join(F.transform("units", lambda u: u["surface"]), "")
