@@ -62,8 +62,16 @@ def pairs(mode: str) -> list[tuple[str, str]]:
     return [(a, b) for rule in FOLLOWS[mode] for a in rule.partition(">")[0].split() for b in rule.partition(">")[2].split()]
 
 
-def parse_expression(expr: Column) -> Column:
-    """``term/tag/sem+...`` as an array of (surface, tag, sem); ``*`` is null."""
+def lowered(df: DataFrame, text: str = "text") -> DataFrame:
+    """Documents as a tagger reads them: in lower case."""
+    return df.withColumn(text, F.lower(text))
+
+
+def parse_expression(expr: Column, strict: bool = False) -> Column:
+    """``term/tag/sem+...`` as an array of (surface, tag, sem); ``*`` is null. ``strict`` refuses an item of fewer than three parts."""
+    if strict:
+        short = F.exists(F.split(expr, r"\+"), lambda x: F.size(F.split(x, "/")) < 3)
+        expr = F.when(short, F.raise_error(F.concat(F.lit("not an expression: "), expr)).cast("string")).otherwise(expr)
     return F.transform(
         F.split(expr, r"\+"),
         lambda x: F.struct(F.get(F.split(x, "/"), F.lit(0)).alias("surface"), F.get(F.split(x, "/"), F.lit(1)).alias("tag"), F.nullif(F.get(F.split(x, "/"), F.lit(2)), F.lit("*")).alias("sem")),

@@ -18,9 +18,10 @@ ROW = "struct<term: string, type: string, pos_incr: int, start_off: int, end_off
 def analyse(df: DataFrame, dicts: Dictionaries, options: AnalyzerOptions = AnalyzerOptions(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, token_no, term, type, ...) of every name; a null or blank one has no rows."""
     shared = df.sparkSession.sparkContext.broadcast(dicts)
+    memo: dict[str, str] = {}  # empty when it is sent; each worker then keeps its own
 
     def emit(name: str | None) -> list[tuple]:
-        return rules.terms(name, shared.value, options) if name and name.strip() else []
+        return rules.terms(name, shared.value, options, memo) if name and name.strip() else []
 
     found = F.udf(emit, f"array<{ROW}>", useArrow=True)
     return df.select(key, F.posexplode(found(F.col(text))).alias("token_no", "t")).select(key, "token_no", "t.*")
@@ -57,3 +58,20 @@ def expansions(text: str, dicts: Dictionaries) -> dict[str, list[str]]:
 def synonym_list(text: str, dicts: Dictionaries) -> list[str]:
     """Synonyms of a keyword as a whole."""
     return list(dict.fromkeys(dicts.synonym.get(rules.chars.folded(text.strip()), [])))
+
+
+def expand(df: DataFrame, dicts: Dictionaries, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, term, words) of every keyword of a table: ``expansions``, without terms that have none."""
+    shared = df.sparkSession.sparkContext.broadcast(dicts)
+
+    def emit(name: str | None) -> list[tuple]:
+        return [(t, w) for t, w in expansions(name, shared.value).items() if w] if name and name.strip() else []
+
+    found = F.udf(emit, "array<struct<term: string, words: array<string>>>", useArrow=True)
+    return df.select(key, F.explode(found(F.col(text))).alias("e")).select(key, "e.*")
+
+
+def with_synonyms(df: DataFrame, synonyms: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of a table with ``synonyms``, those of the keyword as a whole; a join by the folded keyword."""
+    keyed = df.withColumn("key", F.upper(F.trim(F.coalesce(text, F.lit("")))))
+    return keyed.join(synonyms.select("key", F.col("words").alias("synonyms")), "key", "left").drop("key")

@@ -112,12 +112,37 @@ def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"))
 
 
-def page(df: DataFrame, order: list[Column], start: int = 0, size: int = 20) -> DataFrame:
-    """One page of sorted rows with ``_rownum`` from ``start``; a size of -1: all that follow."""
-    found = df.orderBy(*order).offset(start) if size < 0 else df.orderBy(*order).offset(start).limit(size)
-    if size < 0:  # numbered without one task that holds all rows: the caller sorts by the same keys
-        return found
-    return found.withColumn("_rownum", F.row_number().over(Window.orderBy(*order)) - 1 + start)
+def page(df: DataFrame, order: list[Column], start: int = 0, size: int = 20, echo: list[str] | None = None) -> DataFrame:
+    """One page of sorted rows with ``_rownum`` from ``start``; a size of -1: all that follow.
+
+    With ``echo`` (the names sorted by) each row has their values as ``_sort``.
+    """
+    if echo:
+        df = df.withColumn("_sort", F.array(*[F.col(c).cast("string") for c in echo]))
+    if size >= 0:
+        found = df.orderBy(*order).offset(start).limit(size)
+        return found.withColumn("_rownum", F.row_number().over(Window.orderBy(*order)) - 1 + start)
+    # All rows are numbered by ranges: a task sorts one range, and the driver sees one count for each.
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).persist()
+    before, total = {}, 0
+    for r in ranged.groupBy("_part").count().orderBy("_part").collect():
+        before[r["_part"]], total = total, total + r["count"]
+    skipped = F.element_at(F.create_map(*[F.lit(x) for kv in (before or {0: 0}).items() for x in kv]), F.col("_part"))
+    numbered = ranged.withColumn("_rownum", (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + skipped).cast("int"))
+    return numbered.where(F.col("_rownum") >= start).drop("_part")
+
+
+def act(df: DataFrame, node, fields: str, *, base: dict | None = None, sort: list | None = None, start: int = 0, size: int = 20, marked: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, dict | str]:
+    """(page, total, explanation) of a search: the query and a base query in JSON, counted, sorted, paged and highlighted."""
+    found = search(df, node, *fields_with_boosts(fields))
+    if base:
+        found = found.where(parse_dsl(base))
+    order = parse_sort(sort) if sort else [F.monotonically_increasing_id()]
+    names = [n for item in sort or [] for n in (item if isinstance(item, dict) else [item])]
+    rows = page(found, order, start, size, names)
+    for c in marked:
+        rows = rows.withColumn(f"{c}_marked", highlight(F.col(c), terms_of(node)))
+    return rows, total(found), explain(node)
 
 
 def parse_sort(spec: list) -> list[Column]:

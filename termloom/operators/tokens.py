@@ -34,9 +34,20 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
 
-def term_counts(df: DataFrame, text: str) -> DataFrame:
-    """(term, type, n): counted before they are typed, so that each distinct term is typed once."""
-    found = df.select(F.explode(runs(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+#: What the runs of one type are made of.
+_OF = {kind: f"[{cls}]+" for kind, cls in chars.CLASSES.items()} | {"UNCATEGORIZED": _RUNS.rpartition("|")[2]}
+
+
+def term_counts(df: DataFrame, text: str, *kinds: str) -> DataFrame:
+    """(term, type, n) of all runs, or of those of some ``kinds``, which alone are then taken from the text.
+
+    Say kinds here and not in a filter on the type: that would be moved below the count and type every token.
+    """
+    pattern = "|".join(_OF[k] for k in kinds) if kinds else _RUNS
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+    found = df.select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    if len(kinds) == 1:
+        return found.select("term", F.lit(kinds[0]).alias("type"), "n")
     return found.select("term", chars.char_type(F.col("term")).alias("type"), "n")
 
 
@@ -53,7 +64,7 @@ def top_terms(df: DataFrame, text: str, k: int) -> DataFrame:
 def grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, at, gram): n consecutive words written together, as synonym keys are looked up; no shuffle."""
     w = df.select(key, words(F.col(text)).alias("_w"))
-    joined = F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.array_join(F.slice("_w", i + 1, F.lit(n)), ""))
+    joined = F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.concat(*[F.get("_w", i + k) for k in range(n)]))
     return w.where(F.size("_w") >= n).select(key, F.posexplode(joined).alias("at", "gram"))
 
 

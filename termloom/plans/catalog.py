@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import chars, hangul
-from termloom.operators import dictionary, morph, product, search, segment, tokens
+from termloom.operators import administration, dictionary, morph, product, search, segment, tokens
 from termloom.operators.rules import AnalyzerOptions
 from termloom.operators.search import And, Or, Term
+from termloom.plans import goldens
 from termloom.sources import tagged
 
 STOP = ["the", "and", "of", "die", "der", "la", "le", "de"]
@@ -117,13 +118,13 @@ def _(spark, d):
 
 @_query("long_number_to_model", f"SELECT term, CASE WHEN type = 'NUMBER' AND length(term) >= 5 THEN 'MODEL_NAME' ELSE type END AS final_type, n FROM ({_SQL_TERMS}) WHERE type IN ('NUMBER', 'UNCATEGORIZED')")
 def _(spark, d):
-    found = tokens.term_counts(_table(spark, d, "documents"), "text").where("type in ('NUMBER', 'UNCATEGORIZED')")
+    found = tokens.term_counts(_table(spark, d, "documents"), "text", "NUMBER", "UNCATEGORIZED")
     return found.select("term", tokens.retyped(F.col("term"), F.col("type")).alias("final_type"), "n")
 
 
-@_query("stopword_antijoin", f"SELECT term, n FROM ({_SQL_TERMS}) WHERE lower(term) NOT IN ({_STOP_LIST}) AND type = 'ALPHA' AND n > 20")
+@_query("stopword_antijoin", f"SELECT term, n FROM ({_SQL_TERMS}) WHERE lower(term) NOT IN ({_STOP_LIST}) AND type = 'ALPHA'")
 def _(spark, d):
-    found = tokens.term_counts(_table(spark, d, "documents"), "text").where("type = 'ALPHA' and n > 20")
+    found = tokens.term_counts(_table(spark, d, "documents"), "text", "ALPHA")
     stop = _rows(spark, [(w,) for w in STOP], "w string")  # a fixed list
     return found.join(F.broadcast(stop), F.lower("term") == F.col("w"), "left_anti").select("term", "n")
 
@@ -150,9 +151,27 @@ def _(spark, d):
     return dictionary.synonyms(_rows(spark, SYNONYMS, dictionary.SOURCE)).select("key", F.explode("words").alias("word"))
 
 
-@_query("synonym_two_way_pairs", "SELECT DISTINCT x.s AS a, x.c AS b FROM (SELECT DISTINCT l_suppkey % 50 AS s, l_partkey % 50 AS c FROM lineitem) x JOIN (SELECT DISTINCT l_suppkey % 50 AS s, l_partkey % 50 AS c FROM lineitem) y ON x.s = y.c AND x.c = y.s WHERE x.s < x.c")
+_SQL_LISTS = "(SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_suppkey <> l_partkey)"
+
+
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers and parts as words that list each other: a table of synonyms that grows with the data."""
+    return _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).where("a <> b").distinct()
+
+
+@_query("synonym_two_way_pairs", f"SELECT x.a, x.b FROM {_SQL_LISTS} x JOIN {_SQL_LISTS} y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b")
 def _(spark, d):
-    return dictionary.mutual(_table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("a"), (F.col("l_partkey") % 50).alias("b")).distinct())
+    return dictionary.mutual(_lists(spark, d))
+
+
+@_query("synonym_closure", f"""WITH RECURSIVE lists AS (SELECT * FROM {_SQL_LISTS}),
+grown(main, word) AS (SELECT x.a, x.b FROM lists x JOIN lists y ON x.a = y.b AND x.b = y.a
+  UNION SELECT g.main, l.b FROM grown g JOIN lists l ON g.word = l.a JOIN lists y ON y.a = l.b AND y.b = g.main WHERE l.b <> g.main),
+members AS (SELECT * FROM grown UNION SELECT main, main FROM grown),
+kept AS (SELECT main, word FROM members m WHERE NOT EXISTS (SELECT 1 FROM members k WHERE k.main = m.main AND k.word <> m.word AND NOT EXISTS (SELECT 1 FROM lists l WHERE l.a = k.word AND l.b = m.word)))
+SELECT main, word FROM kept WHERE main IN (SELECT main FROM kept GROUP BY main HAVING count(*) > 1)""")
+def _(spark, d):
+    return administration.two_way(_lists(spark, d))
 
 
 @_query("compound_explode", f"SELECT p_partkey, w AS word, trim(part) AS part FROM (SELECT p_partkey, unnest({_WORDS('p_name')}) AS w FROM part) JOIN {_values(COMPOUNDS, 'dict_type, keyword, value, id')} ON upper(w) = upper(keyword), unnest(string_split(value, ',')) AS u(part)")
@@ -223,17 +242,17 @@ def _(spark, d):
 
 def _sql_grams(n: int) -> str:
     joined = " || ".join(f"w[i + {k}]" for k in range(n))
-    return f"SELECT gram, count(*) AS n FROM (SELECT {joined} AS gram FROM (SELECT {_WORDS('text')} AS w FROM documents) x, range(1, len(w) - {n - 2}) g(i)) GROUP BY gram HAVING count(*) > 5"
+    return f"SELECT gram, count(*) AS n FROM (SELECT {joined} AS gram FROM (SELECT {_WORDS('text')} AS w FROM documents) x, range(1, len(w) - {n - 2}) g(i)) GROUP BY gram"
 
 
 @_query("term_bigrams", _sql_grams(2))
 def _(spark, d):
-    return tokens.grams(_table(spark, d, "documents"), "doc_id", "text", 2).groupBy("gram").agg(F.count("*").alias("n")).where("n > 5")
+    return tokens.grams(_table(spark, d, "documents"), "doc_id", "text", 2).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @_query("term_trigrams", _sql_grams(3))
 def _(spark, d):
-    return tokens.grams(_table(spark, d, "documents"), "doc_id", "text", 3).groupBy("gram").agg(F.count("*").alias("n")).where("n > 5")
+    return tokens.grams(_table(spark, d, "documents"), "doc_id", "text", 3).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @_query("dict_counts", f"SELECT dict_type, count(*) AS n FROM {_values(SOURCE_ROWS, 'dict_type, keyword, value, id')} GROUP BY dict_type")
@@ -328,18 +347,140 @@ def _(spark, d):
     return _table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"))
 
 
-@_query("standard_tokens")
-def _(spark, d):
-    return morph.tokenize(_rows(spark, MORPHEMES, morph.MORPHEME), "standard")
+def _golden(spark: SparkSession, d: str, options: tuple) -> DataFrame:
+    """Every part with the morphemes of one of the worked cases, as tokens."""
+    cases = [c for c in goldens.CASES if c[:3] == options]
+    rows = [(i, *m) for i, c in enumerate(cases) for m in goldens.morphemes(c[3])]
+    listed = _rows(spark, rows, morph.MORPHEME.replace("doc_id long", "case_no long"))  # a fixed list
+    parts = _table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), (F.col("p_partkey") % len(cases)).alias("case_no"))
+    mode, least, original = options
+    found = morph.tokenize(parts.join(F.broadcast(listed), "case_no").drop("case_no"), mode, least, original)
+    return found.select("doc_id", "token_no", "term", "type", "sem", "pos_incr", "pos_len", "start_off", "end_off")
 
 
-@_query("segment_words")
+def _sql_golden(options: tuple) -> str:
+    cases = [c for c in goldens.CASES if c[:3] == options]
+    rows = [(i, *t) for i, c in enumerate(cases) for t in goldens.tokens(c[4])]
+    names = "case_no, token_no, term, type, sem, pos_incr, pos_len, start_off, end_off"
+    return f"SELECT p_partkey AS doc_id, {names.partition(', ')[2]} FROM part JOIN {_values(rows, names)} ON p_partkey % {len(cases)} = case_no"
+
+
+for _name, _options in {"standard_tokens": ("standard", 4, True), "standard_tokens_apart": ("standard", 1, True), "standard_tokens_whole": ("standard", 9999, True),
+                        "similarity_tokens_cases": ("similarity", 9999, True), "keyword_tokens_cases": ("keyword", 9999, True)}.items():
+    _query(_name, _sql_golden(_options))(lambda spark, d, options=_options: _golden(spark, d, options))
+
+_WORDS_KNOWN = [("COLD", "N", -9.0), ("WIDGET", "N", -9.0), ("BRAND", "N", -8.0), ("BOLT", "N", -9.0), ("OLD", "V", -9.5), ("GET", "V", -10.0)]
+_SQL_KNOWN = f"(VALUES {', '.join(map(str, _WORDS_KNOWN))}) AS x(key, tag, prob)"
+
+
+@_query("segment_words", f"""SELECT p_partkey, n::INTEGER AS "at", word, coalesce(x.tag, CASE WHEN regexp_full_match(word, '[0-9]+') THEN 'DIGIT' WHEN regexp_full_match(word, '[^A-Za-z0-9]+') THEN 'SYMBOL' ELSE 'UNK' END) AS tag
+FROM (SELECT p_partkey, generate_subscripts(r, 1) - 1 AS n, unnest(r) AS word FROM (SELECT p_partkey, regexp_extract_all(p_brand || ' ' || p_name, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9 ]+') AS r FROM part))
+LEFT JOIN {_SQL_KNOWN} ON upper(word) = x.key""")
 def _(spark, d):
-    lex = {"COLD": [("N", -9.0)], "WIDGET": [("N", -9.0)], "BRAND": [("N", -8.0)]}
+    lex = {k: [(tag, prob)] for k, tag, prob in _WORDS_KNOWN}
     cut = F.udf(lambda t: [(t[a:b], tag) for a, b, tag, _ in segment.segment_text(t or "", lambda w: lex.get(chars.folded(w)))], "array<struct<word: string, tag: string>>", useArrow=True)
     return _table(spark, d, "part").select("p_partkey", F.posexplode(cut(F.concat_ws(" ", "p_brand", "p_name"))).alias("at", "s")).select("p_partkey", "at", "s.*")
 
 
+@_query("lexicon_substrings", f"""SELECT p_partkey, s::INTEGER AS start, n::INTEGER AS length, tag, prob FROM (SELECT p_partkey, s, unnest(range(1, least(20, length(p_name) - s) + 1)) AS n, p_name
+  FROM (SELECT p_partkey, p_name, unnest(range(0, length(p_name))) AS s FROM part)) JOIN {_SQL_KNOWN} ON upper(substr(p_name, s + 1, n)) = x.key""")
+def _(spark, d):
+    lex = _rows(spark, _WORDS_KNOWN, "key string, tag string, prob double")
+    return segment.lexicon_matches(_table(spark, d, "part").select("p_partkey", "p_name"), lex, "p_name").drop("p_name")
+
+
+# Model names and the terms they must give, in index and query mode.
+MODEL_TERMS = [
+    ("1b-12345", "1b 12345 1b-12345", "1b 12345 1b-12345"), ("b1/a2s", "b1 a 2 s a2s b1/a2s", "b1 a 2 s a2s b1/a2s"), ("c9-123567", "c9 123567 9123567 c9-123567", "c9 123567 c9-123567"),
+    ("d9-b", "d9 b d9-b", "d9 b d9-b"), ("d8-1", "d8 1 81 d8-1", "d8 1 d8-1"), ("1b/a2s", "1b a ba 2 s a2s 1b/a2s", "1b a 2 s a2s 1b/a2s"), ("9c-abcdef", "9c abcdef cabcdef 9c-abcdef", "9c abcdef 9c-abcdef"),
+    ("8a/b", "8a b ab 8a/b", "8a b 8a/b"), ("7b-3", "7b 3 7b-3", "7b 3 7b-3"), ("1A-B2C3D4", "1A B AB 2 C 3 D 4 B2C3D4 1A-B2C3D4", "1A B 2 C 3 D 4 B2C3D4 1A-B2C3D4"),
+    ("AKSO-1X", "AKSO 1X AKSO-1X", "AKSO 1X AKSO-1X"), ("AKSO-1G", "AKSO 1G AKSO-1G", "AKSO 1G AKSO-1G"), ("120cmx60cm", "120 120cm 60 60cm", "120cm 60cm"), ("120x60cm", "120 60 60cm", "120 60cm"),
+]
+
+
+def _model_terms(spark: SparkSession, d: str, query: bool) -> DataFrame:
+    dicts = dictionary.snapshot(_rows(spark, SOURCE_ROWS, dictionary.SOURCE))
+    names = F.array(*[F.lit(t) for t, _, _ in MODEL_TERMS])
+    parts = _table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", F.get(names, (F.col("p_partkey") % len(MODEL_TERMS)).cast("int")), "p_name").alias("text"))
+    found = product.analyse(parts, dicts, AnalyzerOptions(use_for_query=query, use_synonym=False))
+    each = found.select("doc_id", "end_off", F.explode(F.concat(F.array("term"), "extras.term")).alias("term"))
+    first = F.transform(names, lambda t: F.length(t))
+    return each.where(F.col("end_off") <= F.get(first, (F.col("doc_id") % len(MODEL_TERMS)).cast("int"))).select("doc_id", "term")
+
+
+def _sql_model_terms(column: int) -> str:
+    rows = [(i, t) for i, row in enumerate(MODEL_TERMS) for t in row[column].split()]
+    return f"SELECT p_partkey AS doc_id, term FROM part JOIN {_values(rows, 'case_no, term')} ON p_partkey % {len(MODEL_TERMS)} = case_no"
+
+
+@_query("model_terms_index", _sql_model_terms(1))
+def _(spark, d):
+    return _model_terms(spark, d, False)
+
+
+@_query("model_terms_query", _sql_model_terms(2))
+def _(spark, d):
+    return _model_terms(spark, d, True)
+
+
+CONFIG = [("automobile", "SYNONYM", "HIGH", True, "a.dict", 1, "cars"), ("building", "CUSTOM", None, True, "b.dict", 2, "homes"), ("machinery", "MAP", "MID", False, "m.dict", 3, None), ("unused", "SET", None, True, "u.dict", 4, "none")]
+RECORDS = [("building", 7, "2020-01-01 00:00:00", "2020-01-02 00:00:00"), ("other", 1, "2020-01-01 00:00:00", None)]
+NOW = "2024-01-01 00:00:00"
+_SQL_SOURCE = "(SELECT upper(c_mktsegment) AS dict_type, CASE WHEN c_nationkey > 5 THEN c_name END AS keyword, CASE WHEN c_acctbal > 0 THEN c_name || ',' || c_nationkey END AS value, c_custkey::VARCHAR AS id FROM customer)"
+_SQL_CONFIG = _values([(n, t, k, "true" if i else "false", q, x) for n, t, k, i, _, q, x in CONFIG], "name, type, token_type, ignore_case, seq, label")
+_SQL_LINE = """CASE WHEN type LIKE 'SYNONYM%' THEN CASE WHEN keyword IS NULL THEN coalesce(value, '') ELSE keyword || chr(9) || coalesce(value, '') END
+  WHEN type = 'CUSTOM' THEN coalesce(keyword, '') || chr(9) || id WHEN value IS NULL THEN coalesce(keyword, '') ELSE coalesce(keyword, '') || chr(9) || value END"""
+
+
+def _source(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as source rows of the dictionaries of their market segments."""
+    listed = F.when(F.col("c_acctbal") > 0, F.concat_ws(",", "c_name", F.col("c_nationkey").cast("string")))
+    return _table(spark, d, "customer").select(F.upper("c_mktsegment").alias("dict_type"), F.when(F.col("c_nationkey") > 5, F.col("c_name")).alias("keyword"), listed.alias("value"), F.col("c_custkey").cast("string").alias("id"))
+
+
+@_query("dict_compile", f"SELECT name, type, {_SQL_LINE} AS line FROM {_SQL_SOURCE} JOIN (SELECT * FROM {_SQL_CONFIG}) c ON dict_type = upper(name)")
+def _(spark, d):
+    return administration.compiled(_source(spark, d), _rows(spark, CONFIG, administration.CONFIG))
+
+
+_SQL_APPLIED = f"SELECT coalesce(n.id, r.id) AS id, coalesce(n.count, r.count) AS count, coalesce(n.t, r.a) AS appliedTime, r.u AS updatedTime FROM (SELECT * FROM {_values(RECORDS, 'id, count, a, u')}) r FULL JOIN (SELECT name AS id, count(*)::INTEGER AS count, '{NOW}' AS t FROM {_SQL_SOURCE} JOIN (SELECT * FROM {_SQL_CONFIG}) c ON dict_type = upper(name) GROUP BY name) n ON n.id = r.id"
+
+
+def _applied(spark: SparkSession, d: str) -> DataFrame:
+    lines = administration.compiled(_source(spark, d), _rows(spark, CONFIG, administration.CONFIG))
+    return administration.upserted(_rows(spark, RECORDS, administration.APPLY), administration.applied(lines, NOW))
+
+
+@_query("dict_apply_records", _SQL_APPLIED)
+def _(spark, d):
+    return _applied(spark, d)
+
+
+@_query("dict_info", f"""SELECT upper(name) AS dict_type, name AS id, type, ignore_case = 'true' AS ignore_case, coalesce(token_type, 'NONE') AS token_type, label, seq, coalesce(appliedTime, '') AS appliedTime, coalesce(updatedTime, '') AS updatedTime,
+  coalesce(r.count, 0) AS count, coalesce(n, 0) AS index_count FROM (SELECT * FROM {_SQL_CONFIG}) c LEFT JOIN ({_SQL_APPLIED}) r ON r.id = c.name LEFT JOIN (SELECT dict_type, count(*) AS n FROM {_SQL_SOURCE} GROUP BY dict_type) s ON s.dict_type = upper(name)""")
+def _(spark, d):
+    return administration.info(_source(spark, d), _rows(spark, CONFIG, administration.CONFIG), _applied(spark, d))
+
+
+@_query("search_all_rownum", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1)::INTEGER AS _rownum FROM orders QUALIFY _rownum >= 40")
+def _(spark, d):
+    return search.page(_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), search.parse_sort([{"o_totalprice": "desc"}, "o_orderkey"]), 40, -1).drop("o_totalprice")
+
+
+@_query("search_action", rf"""SELECT p_partkey, p_name, p_partkey::VARCHAR AS _sort, (row_number() OVER (ORDER BY p_partkey DESC) - 1)::INTEGER AS _rownum, regexp_replace(p_name, '\b(cold|frosty|gadget|icy|widget)\b', '<b>\1</b>', 'gi') AS p_name_marked
+FROM part WHERE ({_HAS('cold', 'p_name')} OR {_HAS('icy', 'p_name')} OR {_HAS('frosty', 'p_name')}) AND ({_HAS('widget', 'p_name')} OR {_HAS('gadget', 'p_name')}) AND p_size >= 10 ORDER BY p_partkey DESC LIMIT 20""")
+def _(spark, d):
+    node = product.query_of("cold widget", dictionary.snapshot(_rows(spark, SYNONYMS, dictionary.SOURCE)))
+    return search.act(_table(spark, d, "part"), node, "p_name^2", base={"range": {"p_size": {"gte": 10}}}, sort=[{"p_partkey": "desc"}], marked=("p_name",))[0].select("p_partkey", "p_name", F.array_join("_sort", ",").alias("_sort"), "_rownum", "p_name_marked")
+
+
+@_query("keyword_expansion", f"SELECT p_partkey AS doc_id, w AS term, s.word AS word FROM (SELECT p_partkey, unnest({_WORDS('p_name')}) AS w FROM part) JOIN {_SQL_SYN} s ON upper(w) = s.key")
+def _(spark, d):
+    dicts = dictionary.snapshot(_rows(spark, SYNONYMS, dictionary.SOURCE))
+    found = product.expand(_table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text")), dicts)
+    return found.select("doc_id", "term", F.explode("words").alias("word"))
+
+
 def _product_terms(spark: SparkSession, d: str, query: bool) -> DataFrame:
     dicts = dictionary.snapshot(_rows(spark, SOURCE_ROWS, dictionary.SOURCE))
     names = _table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_brand", "p_name", F.concat(F.col("p_size"), F.lit("cm"))).alias("text"))
