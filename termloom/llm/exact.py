@@ -82,21 +82,25 @@ def chunk_store(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tuple[
     return parts.groupBy("sha", "len").agg(F.min("chunk").alias("chunk")), parts.select("doc_id", "pos", "sha", "len")
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as one struct, so that no name of ours meets one of theirs, with their key: doc_id and the text's SHA-256."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha"))
+
+
 def keep_last(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stay.
 
     Only keys of dropped rows meet the texts: broadcast where few, see ``without``.
     """
     judged = materialise(duplicates(docs), "judged")
-    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_sha": sha}
     names = {"_id": F.coalesce("doc_id", F.lit(-(2**63))), "_sha": F.col("text_sha256")}
     groups = judged.withColumns(names).groupBy("_id", "_sha").agg(F.max("kept").alias("any"), F.count("*").alias("n"))
     gone = materialise(groups.where("not any").select("_id", "_sha"), "gone")
-    left = without(docs.withColumns(keys), gone, ["_id", "_sha"])
+    left = without(nested(docs), gone, ["_id", "_sha"])
     tied = materialise(groups.where("any and n > 1").select("_id", "_sha"), "tied")  # one row in a table twice or more
     if tied.isEmpty():
-        return left.select(docs.columns)
+        return left.select("row.*")
     few = F.broadcast(tied) if small(tied) else tied
     once = left.join(few, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"])
-    return without(left, tied, ["_id", "_sha"]).unionByName(once).select(docs.columns)
+    return without(left, tied, ["_id", "_sha"]).unionByName(once).select("row.*")

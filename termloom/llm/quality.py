@@ -14,7 +14,8 @@ broadcast. No text is shuffled.
 
 Windows are compared by a 64-bit hash within one document.
 
-Defined cases: a null or empty text has no words and fails the base rules; a
+Defined cases: a null or empty text has no words and fails the base rules; texts of any
+length are read whole; a
 null or unknown language is judged by the base rules alone; rows may repeat;
 an empty table gives an empty result; other columns are ignored.
 """
