@@ -164,14 +164,16 @@ def _(spark, d):
     return dictionary.mutual(_lists(spark, d))
 
 
-@_query("synonym_closure", f"""WITH RECURSIVE lists AS (SELECT * FROM {_SQL_LISTS}),
+@_query("synonym_closure", f"""WITH RECURSIVE lists AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_suppkey <> l_partkey AND l_returnflag = 'R' AND l_linestatus = 'F'),
 grown(main, word) AS (SELECT x.a, x.b FROM lists x JOIN lists y ON x.a = y.b AND x.b = y.a
   UNION SELECT g.main, l.b FROM grown g JOIN lists l ON g.word = l.a JOIN lists y ON y.a = l.b AND y.b = g.main WHERE l.b <> g.main),
-members AS (SELECT * FROM grown UNION SELECT main, main FROM grown),
-kept AS (SELECT main, word FROM members m WHERE NOT EXISTS (SELECT 1 FROM members k WHERE k.main = m.main AND k.word <> m.word AND NOT EXISTS (SELECT 1 FROM lists l WHERE l.a = k.word AND l.b = m.word)))
+members AS (SELECT * FROM grown UNION SELECT main, main FROM grown), sizes AS (SELECT main, count(*) AS n FROM members GROUP BY main),
+told AS (SELECT m.main, l.b AS word, count(*) AS n FROM members m JOIN lists l ON l.a = m.word GROUP BY m.main, l.b),
+kept AS (SELECT m.main, m.word FROM members m JOIN told t ON t.main = m.main AND t.word = m.word JOIN sizes s ON s.main = m.main WHERE t.n = s.n - 1)
 SELECT main, word FROM kept WHERE main IN (SELECT main FROM kept GROUP BY main HAVING count(*) > 1)""")
 def _(spark, d):
-    return administration.two_way(_lists(spark, d))
+    returned = _table(spark, d, "lineitem").where("l_returnflag = 'R' and l_linestatus = 'F'")  # with all lines nearly every word lists every other
+    return administration.two_way(returned.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")))
 
 
 @_query("compound_explode", f"SELECT p_partkey, w AS word, trim(part) AS part FROM (SELECT p_partkey, unnest({_WORDS('p_name')}) AS w FROM part) JOIN {_values(COMPOUNDS, 'dict_type, keyword, value, id')} ON upper(w) = upper(keyword), unnest(string_split(value, ',')) AS u(part)")
