@@ -6,11 +6,7 @@ Everything but the configuration is a DataFrame operation over source rows
 
 from __future__ import annotations
 
-import atexit
 import json
-import shutil
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +14,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import chars
 from termloom.operators import dictionary
+from termloom.operators.stored import stored
 
 CONFIG = "name string, type string, token_type string, ignore_case boolean, file_path string, seq int, label string"
 APPLY = "id string, count int, appliedTime string, updatedTime string"
@@ -120,38 +117,24 @@ def two_way(pairs: DataFrame, rounds: int = 20) -> DataFrame:
     stay that all others of the group list. Words without a group of two have no rows. Each round adds a step; one
     that adds nothing ends it, and more than ``rounds`` is an error.
     """
-    lists = _stored(pairs.select("a", "b").where("a <> b").distinct())
+    lists = stored(pairs.select("a", "b").where("a <> b").distinct())
     back = lists.select(F.col("b").alias("main"), F.col("a").alias("word"))  # word lists main
     following = lists.select(F.col("a").alias("word"), F.col("b").alias("next"))
-    edge = _stored(lists.select(F.col("a").alias("main"), F.col("b").alias("word")).join(back, ["main", "word"], "left_semi"))
+    edge = stored(lists.select(F.col("a").alias("main"), F.col("b").alias("word")).join(back, ["main", "word"], "left_semi"))
     found = edge
     for _ in range(rounds):
         step = edge.join(following, "word").select("main", F.col("next").alias("word")).where("main <> word").distinct()
-        edge = _stored(step.join(back, ["main", "word"], "left_semi").join(found, ["main", "word"], "left_anti"))
+        edge = stored(step.join(back, ["main", "word"], "left_semi").join(found, ["main", "word"], "left_anti"))
         if edge.isEmpty():
             break
         found = found.unionByName(edge)
     else:
         raise ValueError(f"a two-way group takes more than {rounds} steps")
-    group = _stored(found.unionByName(found.select("main", F.col("main").alias("word")).distinct()))
+    group = stored(found.unionByName(found.select("main", F.col("main").alias("word")).distinct()))
     size = group.groupBy("main").agg(F.count("*").alias("size"))
     told = group.select("main", F.col("word").alias("by")).join(lists.select(F.col("a").alias("by"), F.col("b").alias("word")), "by")
     told = told.groupBy("main", "word").agg(F.count("*").alias("n"))
-    kept = _stored(group.join(told, ["main", "word"]).join(size, "main").where("n = size - 1").select("main", "word"))
+    kept = stored(group.join(told, ["main", "word"]).join(size, "main").where("n = size - 1").select("main", "word"))
     several = kept.groupBy("main").agg(F.count("*").alias("n")).where("n > 1").select("main")
     return kept.join(several, "main", "left_semi")
 
-
-def _stored(df: DataFrame) -> DataFrame:
-    """A round's table, written once into the folder named in spark.checkpoint.dir (in local mode, where none is named, a temporary one)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="termloom-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/termloom-two-way-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ from termloom.functions import chars
 from termloom.operators import rules, segment
 
 SOURCE = "dict_type string, keyword string, value string, id string"
-#: Most source rows of a snapshot; more is refused.
+#: Most source rows of a snapshot; more are met by join (``large``).
 SNAPSHOT_ROWS = 2_000_000
 # Part-of-speech prefixes of lexicon lines, first match wins.
 TAG_PREFIXES = ("N", "V", "M", "IC", "J", "E", "XPN")
@@ -115,18 +115,39 @@ def restore(dicts: rules.Dictionaries, spark) -> DataFrame:
     return spark.createDataFrame(out, SOURCE)
 
 
+# Dictionary types and the fields of a snapshot.
+KINDS = {"SYSTEM": "lexicon", "USER": "user", "STOP": "stop", "UNIT": "unit", "SYNONYM": "synonym", "UNIT_SYNONYM": "unit_synonym", "COMPOUND": "compound", "SPACE": "space"}
+
+
+def entries(rows: DataFrame, lex: DataFrame | None = None) -> DataFrame:
+    """(kind, key, words, tags): one row for each key of each dictionary; tags for the lexicon, words for all others.
+
+    Keywords have no words of their own. Of several word lists for one key of a compound or a forced split the greatest stays.
+    """
+    of = lambda kind: rows.where(F.col("dict_type") == kind)
+    tags = F.lit(None).cast("array<struct<tag: string, prob: double>>").alias("tags")
+    none = F.array().cast("array<string>").alias("words")
+    found = rows.where(F.col("dict_type").isin("USER", "STOP", "UNIT") & F.col("keyword").isNotNull())
+    found = found.select(F.col("dict_type").alias("kind"), chars.fold(F.col("keyword")).alias("key")).distinct().select("kind", "key", none, tags)
+    for kind, df in (("SYNONYM", synonyms(of("SYNONYM"))), ("UNIT_SYNONYM", synonyms(of("UNIT_SYNONYM"))), ("COMPOUND", parts(of("COMPOUND"))), ("SPACE", forced_splits(of("SPACE")))):
+        one = df if kind.endswith("SYNONYM") else df.groupBy("key").agg(F.max("words").alias("words"))
+        found = found.unionByName(one.where("key is not null").select(F.lit(kind).alias("kind"), "key", "words", tags))
+    if lex is not None:
+        each = lex.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("tag", "prob"))).alias("tags"))
+        found = found.unionByName(each.select(F.lit("SYSTEM").alias("kind"), "key", F.lit(None).cast("array<string>").alias("words"), "tags"))
+    return found
+
+
+def fits(rows: DataFrame, lex: DataFrame | None = None) -> bool:
+    """Whether a snapshot may be made: no table has more than SNAPSHOT_ROWS rows."""
+    return all(df.limit(SNAPSHOT_ROWS + 1).count() <= SNAPSHOT_ROWS for df in (rows, lex) if df is not None)
+
+
 def snapshot(rows: DataFrame, lex: DataFrame | None = None) -> rules.Dictionaries:
     """All dictionaries as one object for the Arrow functions; refused beyond SNAPSHOT_ROWS."""
-    for df in filter(None, (rows, lex)):
-        if df.limit(SNAPSHOT_ROWS + 1).count() > SNAPSHOT_ROWS:
-            raise ValueError(f"more than {SNAPSHOT_ROWS} dictionary rows")
-    of = lambda kind: rows.where(F.col("dict_type") == kind)
-    table = lambda df: {r["key"]: list(r["words"]) for r in df.collect()}
-    words = lambda kind: {chars.folded(r["keyword"]) for r in of(kind).where("keyword is not null").collect()}
-    tags: dict[str, list[tuple[str, float]]] = {}
-    for r in lex.orderBy("key", "tag").collect() if lex is not None else ():
-        tags.setdefault(r["key"], []).append((r["tag"], r["prob"]))
-    return rules.Dictionaries(
-        lexicon=tags, user=words("USER"), stop=words("STOP"), unit=words("UNIT"), synonym=table(synonyms(of("SYNONYM"))),
-        unit_synonym=table(synonyms(of("UNIT_SYNONYM"))), compound=table(parts(of("COMPOUND"))), space=table(forced_splits(of("SPACE"))),
-    )
+    if not fits(rows, lex):
+        raise ValueError(f"more than {SNAPSHOT_ROWS} dictionary rows: large.analyse takes them by join")
+    kinds: dict[str, dict] = {k: {} for k in KINDS}
+    for r in entries(rows, lex).collect():
+        kinds[r["kind"]][r["key"]] = [(t["tag"], t["prob"]) for t in r["tags"]] if r["tags"] is not None else list(r["words"])
+    return rules.Dictionaries(**{name: set(kinds[kind]) if kind in ("USER", "STOP", "UNIT") else kinds[kind] for kind, name in KINDS.items()})

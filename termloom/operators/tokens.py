@@ -68,6 +68,13 @@ def grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return w.where(F.size("_w") >= n).select(key, F.posexplode(joined).alias("at", "gram"))
 
 
+def unit_numbers(text: Column, units: list[str]) -> Column:
+    """Array of (number, unit): each run of digits with the unit (one of ``units``, whatever its case) that is the next run."""
+    found = runs(text)
+    met = lambda p: p["number"].rlike(r"^\p{Nd}+$") & F.upper(p["unit"]).isin(*[u.upper() for u in units])
+    return F.filter(F.transform(found, lambda t, i: F.struct(t.alias("number"), F.get(found, i + 1).alias("unit"))), met)
+
+
 def retyped(term: Column, kind: Column) -> Column:
     """Final types: a NUMBER of five digits and more is a MODEL_NAME, null is UNCATEGORIZED."""
     return F.when((kind == "NUMBER") & (F.length(term) >= 5), "MODEL_NAME").when(kind == "UNIT_ALPHA", "UNIT").when(kind == "NUMBER_TRANS", "NUMBER").otherwise(F.coalesce(kind, F.lit("UNCATEGORIZED")))

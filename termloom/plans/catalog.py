@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import chars, hangul
-from termloom.operators import administration, dictionary, morph, product, search, segment, tokens
+from termloom.operators import administration, dictionary, large, morph, product, search, segment, tokens
 from termloom.operators.rules import AnalyzerOptions
 from termloom.operators.search import And, Or, Term
 from termloom.plans import goldens
@@ -122,6 +122,19 @@ def _(spark, d):
     return found.select("term", tokens.retyped(F.col("term"), F.col("type")).alias("final_type"), "n")
 
 
+_UNITS = ["CM", "GB", "V"]
+_SQL_SIZES = "(SELECT p_partkey, p_brand || ' ' || p_size || 'cm ' || p_name || ' 3,' || p_size || ' GB' AS t FROM part)"
+
+
+@_query("unit_number_pairs", f"""SELECT p_partkey, number, unit FROM (SELECT p_partkey, term AS unit, lag(term) OVER (PARTITION BY p_partkey ORDER BY token_no) AS number
+  FROM (SELECT p_partkey, generate_subscripts(r, 1) AS token_no, unnest(r) AS term FROM (SELECT p_partkey, regexp_extract_all(t, '{_SQL_RUNS}') AS r FROM {_SQL_SIZES})))
+WHERE regexp_full_match(number, '\\p{{Nd}}+') AND upper(unit) IN ({', '.join(f"'{u}'" for u in _UNITS)})""")
+def _(spark, d):
+    size = F.col("p_size").cast("string")
+    texts = _table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit(" "), size, F.lit("cm "), "p_name", F.lit(" 3,"), size, F.lit(" GB")).alias("t"))
+    return texts.select("p_partkey", F.explode(tokens.unit_numbers(F.col("t"), _UNITS)).alias("u")).select("p_partkey", "u.*")
+
+
 @_query("stopword_antijoin", f"SELECT term, n FROM ({_SQL_TERMS}) WHERE lower(term) NOT IN ({_STOP_LIST}) AND type = 'ALPHA'")
 def _(spark, d):
     found = tokens.term_counts(_table(spark, d, "documents"), "text", "ALPHA")
@@ -400,11 +413,12 @@ MODEL_TERMS = [
 ]
 
 
-def _model_terms(spark: SparkSession, d: str, query: bool) -> DataFrame:
-    dicts = dictionary.snapshot(_rows(spark, SOURCE_ROWS, dictionary.SOURCE))
+def _model_terms(spark: SparkSession, d: str, query: bool, join: bool = False) -> DataFrame:
+    rows = _rows(spark, SOURCE_ROWS, dictionary.SOURCE)
+    options = AnalyzerOptions(use_for_query=query, use_synonym=False)
     names = F.array(*[F.lit(t) for t, _, _ in MODEL_TERMS])
     parts = _table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", F.get(names, (F.col("p_partkey") % len(MODEL_TERMS)).cast("int")), "p_name").alias("text"))
-    found = product.analyse(parts, dicts, AnalyzerOptions(use_for_query=query, use_synonym=False))
+    found = large.analyse(parts, rows, None, options) if join else product.analyse(parts, dictionary.snapshot(rows), options)
     each = found.select("doc_id", "end_off", F.explode(F.concat(F.array("term"), "extras.term")).alias("term"))
     first = F.transform(names, lambda t: F.length(t))
     return each.where(F.col("end_off") <= F.get(first, (F.col("doc_id") % len(MODEL_TERMS)).cast("int"))).select("doc_id", "term")
@@ -425,6 +439,11 @@ def _(spark, d):
     return _model_terms(spark, d, True)
 
 
+@_query("model_terms_join", _sql_model_terms(2))
+def _(spark, d):
+    return _model_terms(spark, d, True, join=True)
+
+
 CONFIG = [("automobile", "SYNONYM", "HIGH", True, "a.dict", 1, "cars"), ("building", "CUSTOM", None, True, "b.dict", 2, "homes"), ("machinery", "MAP", "MID", False, "m.dict", 3, None), ("unused", "SET", None, True, "u.dict", 4, "none")]
 RECORDS = [("building", 7, "2020-01-01 00:00:00", "2020-01-02 00:00:00"), ("other", 1, "2020-01-01 00:00:00", None)]
 NOW = "2024-01-01 00:00:00"
