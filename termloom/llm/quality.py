@@ -5,7 +5,7 @@ windows of each whole text. The method then compares two histograms of the
 document with the reference of its language, by Jensen-Shannon distance (0 to
 1): how its characters divide over classes, and how its words divide over the
 language's commonest words and the rest. References are the sums over all
-documents of the language. A histogram made of too few characters or words is
+documents of the language, or stored ones of another corpus. A histogram made of too few characters or words is
 not judged, nor is a document of a language without reference.
 
 Everything is computed inside the row, in one scan; what is aggregated is one
@@ -107,10 +107,22 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def references(feats: DataFrame) -> DataFrame:
-    """lang, ref_chars, ref_words: sums over all documents; one row for each language with a word list."""
+    """lang, ref_chars, ref_words: sums over all documents; one row for each language with a word list.
+
+    A table to store and give to ``judge``, so that verdicts do not change with the batch.
+    """
+    return _summed(feats, "char_counts", "word_counts")
+
+
+def combined(refs: DataFrame) -> DataFrame:
+    """References of several corpora as one: those of one language add up; a language without a word list goes."""
+    return _summed(refs, "ref_chars", "ref_words")
+
+
+def _summed(counts: DataFrame, chars: str, words: str) -> DataFrame:
     classes, slots = 7, SLOTS + 1
-    sums = [F.sum(F.get("char_counts", F.lit(k))).alias(f"c{k}") for k in range(classes)] + [F.sum(F.get("word_counts", F.lit(k))).alias(f"w{k}") for k in range(slots)]
-    found = feats.where(F.col("lang").isin(*COMMON_WORDS)).groupBy("lang").agg(*sums)
+    sums = [F.sum(F.get(chars, F.lit(k))).alias(f"c{k}") for k in range(classes)] + [F.sum(F.get(words, F.lit(k))).alias(f"w{k}") for k in range(slots)]
+    found = counts.where(F.col("lang").isin(*COMMON_WORDS)).groupBy("lang").agg(*sums)
     return found.select("lang", F.array(*[f"c{k}" for k in range(classes)]).alias("ref_chars"), F.array(*[f"w{k}" for k in range(slots)]).alias("ref_words"))
 
 
@@ -125,10 +137,13 @@ def distance(p: Column, q: Column, np_: Column, nq: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, b: a + b) / 2))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, both distances (null where not judged) and kept."""
-    feats = materialise(features(docs), "quality")
-    refs = F.broadcast(references(feats))
+def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """doc_id, the base counts, base_failed, both distances (null where not judged) and kept.
+
+    ``refs`` are stored ``references``; without them those of ``docs`` itself are taken.
+    """
+    feats = features(docs) if refs is not None else materialise(features(docs), "quality")
+    refs = F.broadcast(combined(refs) if refs is not None else references(feats))  # one row a language with a word list
     total = lambda c: F.aggregate(F.col(c), F.lit(0).cast("long"), lambda a, b: a + b)
     both = feats.join(refs, "lang", "left").withColumns({c: total(x) for c, x in (("_pc", "char_counts"), ("_qc", "ref_chars"), ("_pw", "word_counts"), ("_qw", "ref_words"))})
     chars = F.when((F.col("_pc") >= LEAST_CHARS) & (F.col("_qc") > 0), distance(F.col("char_counts"), F.col("ref_chars"), F.col("_pc"), F.col("_qc")))

@@ -37,6 +37,20 @@ def test_quality(spark, edge):
     assert quality.judge(edge).count() == len(TEXTS) and quality.judge(edge.limit(0)).count() == 0
 
 
+def test_stored_references_do_not_change_with_the_batch(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang", "text")
+    refs = quality.references(quality.features(docs))
+    whole = {r.doc_id: r for r in quality.judge(docs).collect()}
+    some = quality.judge(docs.where("doc_id % 3 = 0"), refs).collect()
+    assert some and all(r == whole[r.doc_id] for r in some)
+    twice = quality.combined(refs.unionByName(refs)).collect()
+    assert len(twice) == refs.count() and {r.lang: [2 * x for x in r.ref_words] for r in refs.collect()} == {r.lang: r.ref_words for r in twice}
+    junk = spark.createDataFrame([(1, "en", " ".join(["zq xv"] * 3 + [f"w{i} q{i}" for i in range(200)]))], "doc_id long, lang string, text string")
+    assert quality.judge(junk).head().kept and not quality.judge(junk, refs).head().kept
+    none = quality.judge(junk, refs.limit(0)).head()
+    assert none.kept and none.char_distance is None
+
+
 def test_sharding(spark, edge):
     placed = sharding.assign_shards(edge.select("doc_id"), "doc_id")
     rows = placed.collect()
