@@ -77,7 +77,9 @@ def features(docs: DataFrame) -> DataFrame:
         F.sort_array(F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i")))),
     ).otherwise(F.array().cast("array<struct<h: bigint, i: int>>"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    count = lambda cls: F.length("_t") - F.length(F.regexp_replace("_t", f"[{cls}]+", ""))
+    # Classes are disjoint: the two that fill a text go first, so that the others are counted in the short rest.
+    without = lambda held, cls: F.regexp_replace(held, f"[{cls}]+", "")
+    count = lambda held, cls: F.length(held) - F.length(without(held, cls))
     common = F.lit(None)
     for lang, listed in COMMON_WORDS.items():
         joined = F.concat(F.lit(" "), F.array_join(F.filter("_low", _among(listed)), "  "), F.lit(" "))
@@ -85,7 +87,9 @@ def features(docs: DataFrame) -> DataFrame:
     step = base.withColumns({"_h": windows, "_lines": lines, "_low": F.transform("_w", lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?")))), "n_chars_all": F.length("_t").cast("long")})
     places, covered = _repeat_words(F.col("_h"))
     step = step.withColumns({"_places": places, "_common": common})
-    lower, upper, digit, space, marks, symbol = (count(c) for c in ("a-z", "A-Z", "0-9", SPACE, r".,;:!?'\"()\-", SYMBOLS))
+    step = step.withColumn("_not_lower", without("_t", "a-z")).withColumn("_rest", without("_not_lower", SPACE))
+    lower, space = F.length("_t") - F.length("_not_lower"), F.length("_not_lower") - F.length("_rest")
+    upper, digit, marks, symbol = (count("_rest", c) for c in ("A-Z", "0-9", r".,;:!?'\"()\-", SYMBOLS))
     step = step.select(
         "doc_id", "lang", F.size("_w").cast("long").alias("n_words"), "n_chars_all", "_common", "_places",
         F.array(*[c.cast("long") for c in (lower, upper, digit, space, marks, symbol)]).alias("_classes"),
