@@ -29,8 +29,9 @@ from termloom.llm.store import materialise
 
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
-#: Guards: the least characters and words that make a histogram worth judging.
-LEAST_CHARS, LEAST_HISTOGRAM_WORDS = 400, 120
+#: Guards: the least characters and words that make a histogram worth judging. What the base rules pass has
+#: words enough, since the limit below allows for the chance of few.
+LEAST_CHARS, LEAST_HISTOGRAM_WORDS = 400, LEAST_WORDS
 #: Largest Jensen-Shannon distances of a document that is kept; that of words
 #: has an allowance for chance, divided by the root of the number of words.
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE, CHANCE = 0.30, 0.20, 1.6

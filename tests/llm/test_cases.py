@@ -47,6 +47,9 @@ def test_stored_references_do_not_change_with_the_batch(spark):
     assert len(twice) == refs.count() and {r.lang: [2 * x for x in r.ref_words] for r in refs.collect()} == {r.lang: r.ref_words for r in twice}
     junk = spark.createDataFrame([(1, "en", " ".join(["zq xv"] * 3 + [f"w{i} q{i}" for i in range(200)]))], "doc_id long, lang string, text string")
     assert quality.judge(junk).head().kept and not quality.judge(junk, refs).head().kept
+    short = spark.createDataFrame([(1, "en", " ".join(f"w{i} q{i}" for i in range(55)))], "doc_id long, lang string, text string")
+    judged = quality.judge(short, refs).head()
+    assert judged.word_distance is not None and not judged.base_failed and not judged.kept  # 110 words, none of them common
     none = quality.judge(junk, refs.limit(0)).head()
     assert none.kept and none.char_distance is None
 
