@@ -24,7 +24,7 @@ ignored, whatever their names; texts of any length are read whole.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,17 +68,22 @@ def fingerprint(text: bytes, size: int, seeds: list[int], spread: int = 1, disti
         return bytes(8 * len(seeds) * spread)
     out = b""
     for seed in seeds:
-        total = np.zeros((spread, 64), dtype=np.int64)
-        for at in range(0, len(parts), 8192):
-            some = parts[at : at + 8192]
-            hashes = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in some), dtype=np.uint64, count=len(some))
-            for k in range(spread):
-                bits = np.unpackbits((_mixed(hashes, k) if k else hashes).astype(">u8").view(np.uint8)).reshape(-1, 64)
-                total[k] += bits.sum(axis=0, dtype=np.uint16)  # at most 8192
-        out += np.packbits(2 * total.reshape(-1) > len(parts)).tobytes()
+        some = (parts[at : at + 8192] for at in range(0, len(parts), 8192))
+        out += majority((np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in s), dtype=np.uint64, count=len(s)) for s in some), spread)
     return out
 
 
+def majority(parts: Iterable[np.ndarray], spread: int) -> bytes:
+    """The fingerprint of shingle hashes, which come in arrays of at most 8192: ``spread`` big-endian words."""
+    total, count = np.zeros((spread, 64), dtype=np.int64), 0
+    for hashes in parts:
+        count += len(hashes)
+        for k in range(spread):
+            bits = np.unpackbits((_mixed(hashes, k) if k else hashes).astype(">u8").view(np.uint8)).reshape(-1, 64)
+            total[k] += bits.sum(axis=0, dtype=np.uint16)  # at most 8192
+    return np.packbits(2 * total.reshape(-1) > count).tobytes()
+
+
 def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     """Another 64-bit hash from each of ``hashes``: a bijection by shifts and odd factors."""
     x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)

@@ -3,8 +3,9 @@
 import random
 
 import corpus_pipeline
+import pytest
 from oracle import SMALL
-from termloom.llm import simhash
+from termloom.llm import simhash, similar
 
 COLUMNS = "doc_id long, text string"
 
@@ -100,3 +101,24 @@ def test_rows_that_share_a_doc_id(spark):
     assert left == exact_left(rows) and {(1, text(10)), (5, far)} <= left and len(left) == 4
     two = [(7, text(30)), (7, text(40))]
     assert stage_left(spark, two) == exact_left(two) and len(exact_left(two)) == 1
+
+
+def test_unlike_texts_are_not_compared_as_all_pairs(spark, monkeypatch):
+    """The tiles compare every pair of the fingerprints they get; of texts that share no frequent passage they are to get none."""
+    compared = []
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda df, *a: compared.append(df.count()) or links(df, *a))
+    rows = [(k, " ".join(words(k, 60))) for k in range(1, 800)]
+    rows += [r for g in range(1001, 1031) for r in with_similarity(g, 2, 304, 20)]
+    assert stage_left(spark, rows) == exact_left(rows) and len(exact_left(rows)) == 799 + 30
+    assert sum(compared) == 0
+
+
+@pytest.mark.parametrize("limits", [{"GROUP": 3}, {"PART_PAIRS": 4}, {"PART_ROWS": 8, "GROUP": 20}, {"SAMPLE_USES": 2}, {"SAMPLE_USES": 10**6}])
+def test_search_limits_lose_no_link(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(similar, name, value)
+    line = words(9, 30)  # in every other text, and the whole of a few
+    rows = [(10**6 + k, " ".join(line[k % 3 :] + words((8, k).__hash__(), 40 * (k % 4)))) for k in range(40)]
+    rows += [r for g in range(1, 9) for r in with_similarity(g, 2 + g, 184, 8 + g)] + [(1, ""), (2, None)]
+    assert stage_left(spark, rows) == exact_left(rows)
