@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ _NUMBER = re.compile(rf"{NUMBER_PATTERN}\Z")
 _SPACES = {chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x1680, *range(0x2000, 0x2007), *range(0x2008, 0x200B), 0x2028, 0x2029, 0x205F, 0x3000)}
 
 
+@lru_cache(1 << 16)
 def type_of(ch: str) -> str:
     """The type of one character."""
     if ch in _SPACES:
@@ -147,7 +149,7 @@ _FOLD = {i: i - 32 for i in range(ord("a"), ord("z") + 1)}
 
 
 def folded(text: str) -> str:
-    return text.translate(_FOLD)
+    return text.upper() if text.isascii() else text.translate(_FOLD)
 
 
 def strip_commas(c: Column) -> Column:

@@ -1,7 +1,8 @@
 """Product names to search terms over tables: analysis, labelled sets, expansions and synonym lists.
 
-The rules keep state along a name, so they run as one Arrow function; the
-snapshot of the dictionaries is broadcast once, after its size was checked.
+The rules keep state along a name, so they run as one Arrow function over
+names that are dealt to all cores; the snapshot of the dictionaries is
+broadcast once, after its size was checked.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.operators import rules, search
+from termloom.operators import rowwise, rules, search
 from termloom.operators.rules import AnalyzerOptions, Dictionaries
 
 ROW = "struct<term: string, type: string, pos_incr: int, start_off: int, end_off: int, is_stop: boolean, synonyms: array<string>, extras: array<struct<term: string, type: string, synonyms: array<string>>>>"
@@ -20,11 +21,12 @@ def analyse(df: DataFrame, dicts: Dictionaries, options: AnalyzerOptions = Analy
     shared = df.sparkSession.sparkContext.broadcast(dicts)
     memo: dict[str, str] = {}  # empty when it is sent; each worker then keeps its own
 
-    def emit(name: str | None) -> list[tuple]:
-        return rules.terms(name, shared.value, options, memo) if name and name.strip() else []
+    def emit(name: str) -> list[tuple]:
+        return rules.terms(name, shared.value, options, memo) if name.strip() else []
 
-    found = F.udf(emit, f"array<{ROW}>", useArrow=True)
-    return df.select(key, F.posexplode(found(F.col(text))).alias("token_no", "t")).select(key, "token_no", "t.*")
+    found = rowwise.per_text(emit, f"array<{ROW}>")
+    names = rowwise.spread(df.select(key, F.col(text).alias("_name")))
+    return names.select(key, F.posexplode(found("_name")).alias("token_no", "t")).select(key, "token_no", "t.*")
 
 
 def labelled_sets(terms: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -64,11 +66,12 @@ def expand(df: DataFrame, dicts: Dictionaries, key: str = "doc_id", text: str =
     """(key, term, words) of every keyword of a table: ``expansions``, without terms that have none."""
     shared = df.sparkSession.sparkContext.broadcast(dicts)
 
-    def emit(name: str | None) -> list[tuple]:
-        return [(t, w) for t, w in expansions(name, shared.value).items() if w] if name and name.strip() else []
+    def emit(name: str) -> list[tuple]:
+        return [(t, w) for t, w in expansions(name, shared.value).items() if w] if name.strip() else []
 
-    found = F.udf(emit, "array<struct<term: string, words: array<string>>>", useArrow=True)
-    return df.select(key, F.explode(found(F.col(text))).alias("e")).select(key, "e.*")
+    found = rowwise.per_text(emit, "array<struct<term: string, words: array<string>>>")
+    names = rowwise.spread(df.select(key, F.col(text).alias("_name")))
+    return names.select(key, F.explode(found("_name")).alias("e")).select(key, "e.*")
 
 
 def with_synonyms(df: DataFrame, synonyms: DataFrame, text: str = "text") -> DataFrame:
