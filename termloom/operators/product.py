@@ -30,12 +30,12 @@ def analyse(df: DataFrame, dicts: Dictionaries, options: AnalyzerOptions = Analy
 
 
 def labelled_sets(terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, set_name, words): the named sets of an analysis that ran in query mode."""
+    """(key, set_name, words): the named sets of an analysis that ran in query mode, which is done once for all of them."""
     named = F.when(F.col("is_stop"), "STOPWORD").when(F.col("type") == "MODEL_NAME", "MODEL_NAME").when(F.col("type") == "UNIT", "UNIT").when(F.col("type") == "COMPOUND", "COMPOUND").otherwise("WORD")
-    rows = terms.select(key, named.alias("set_name"), F.col("term").alias("word"))
-    rows = rows.unionByName(terms.select(key, F.lit("SYNONYM").alias("set_name"), F.explode("synonyms").alias("word")))
-    rows = rows.unionByName(terms.select(key, F.lit("EXTRA").alias("set_name"), F.explode("extras.term").alias("word")))
-    rows = rows.unionByName(terms.select(key, F.lit("FINAL").alias("set_name"), F.explode(F.concat(F.array("term"), "synonyms", "extras.term")).alias("word")))
+    own = F.array(F.struct(named.alias("set_name"), F.col("term").alias("word")))
+    in_set = lambda name, words: F.coalesce(F.transform(words, lambda w: F.struct(F.lit(name).alias("set_name"), w.alias("word"))), F.array())
+    every = F.concat(own, in_set("SYNONYM", F.col("synonyms")), in_set("EXTRA", F.col("extras.term")), in_set("FINAL", F.concat(F.array("term"), "synonyms", "extras.term")))
+    rows = terms.select(key, F.explode(every).alias("s")).select(key, "s.*")
     return rows.groupBy(key, "set_name").agg(F.sort_array(F.collect_set("word")).alias("words"))
 
 

@@ -46,3 +46,13 @@ def test_a_text_of_a_batch_is_worked_on_once(spark):
         return [len(counted)]
 
     assert {r.n[0] for r in df.select(rowwise.per_text(emit, "array<int>")("t").alias("n")).collect()} == {1, 2}
+
+
+def test_labelled_sets_analyse_each_name_once(names):
+    terms = product.analyse(names, Dictionaries(unit={"CM"}, synonym={"COLD": ["icy"]}), AnalyzerOptions(use_for_query=True))
+    sets = product.labelled_sets(terms)
+    assert sets._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {(r.set_name, *r.words) for r in sets.where("doc_id = 0").collect()} == {
+        ("MODEL_NAME", "1A-B2C3D4"), ("WORD", "cold"), ("SYNONYM", "icy"),
+        ("EXTRA", "1A", "2", "3", "4", "B", "B2C3D4", "C", "D"), ("FINAL", "1A", "1A-B2C3D4", "2", "3", "4", "B", "B2C3D4", "C", "D", "cold", "icy"),
+    }
