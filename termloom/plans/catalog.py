@@ -393,8 +393,7 @@ FROM (SELECT p_partkey, generate_subscripts(r, 1) - 1 AS n, unnest(r) AS word FR
 LEFT JOIN {_SQL_KNOWN} ON upper(word) = x.key""")
 def _(spark, d):
     lex = {k: [(tag, prob)] for k, tag, prob in _WORDS_KNOWN}
-    cut = F.udf(lambda t: [(t[a:b], tag) for a, b, tag, _ in segment.segment_text(t or "", lambda w: lex.get(chars.folded(w)))], "array<struct<word: string, tag: string>>", useArrow=True)
-    return _table(spark, d, "part").select("p_partkey", F.posexplode(cut(F.concat_ws(" ", "p_brand", "p_name"))).alias("at", "s")).select("p_partkey", "at", "s.*")
+    return segment.segmented(_table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_name").alias("text")), lex, "p_partkey")
 
 
 @_query("lexicon_substrings", f"""SELECT p_partkey, s::INTEGER AS start, n::INTEGER AS length, tag, prob FROM (SELECT p_partkey, s, unnest(range(1, least(20, length(p_name) - s) + 1)) AS n, p_name

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.operators import product, rowwise
+from termloom.operators import product, rowwise, segment
 from termloom.operators.rules import AnalyzerOptions, Dictionaries
 
 NAMES = ["1A-B2C3D4 cold", "120cmx60cm", " ", None, "노트북 12345", "cold ßtraße"]
@@ -56,3 +56,10 @@ def test_labelled_sets_analyse_each_name_once(names):
         ("MODEL_NAME", "1A-B2C3D4"), ("WORD", "cold"), ("SYNONYM", "icy"),
         ("EXTRA", "1A", "2", "3", "4", "B", "B2C3D4", "C", "D"), ("FINAL", "1A", "1A-B2C3D4", "2", "3", "4", "B", "B2C3D4", "C", "D", "cold", "icy"),
     }
+
+
+def test_segmented_texts_are_dealt_to_all_cores(spark, names):
+    found = segment.segmented(names, {"COLD": [("N", -9.0)]})
+    assert busy(found) >= spark.sparkContext.defaultParallelism
+    assert [(r.at, r.word, r.tag) for r in found.where("doc_id = 0").orderBy("at").collect()][-1] == (9, "cold", "N")
+    assert {r.doc_id % 6 for r in found.select("doc_id").distinct().collect()} == {0, 1, 4, 5}
