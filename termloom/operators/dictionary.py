@@ -78,9 +78,10 @@ def with_words(lex: DataFrame, words: DataFrame, token_type: str | None) -> Data
 
 
 def mutual(pairs: DataFrame) -> DataFrame:
-    """(a, b) where each lists the other, a < b."""
-    other = pairs.select(F.col("a").alias("b"), F.col("b").alias("a"))
-    return pairs.join(other, ["a", "b"], "left_semi").where("a < b").distinct()
+    """(a, b) where each lists the other, a < b: one count by both words, without a join; repeated pairs need not be removed before."""
+    way = F.when(F.col("a") < F.col("b"), 1).otherwise(2).alias("_way")
+    ways = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), way)
+    return ways.groupBy("a", "b").agg(F.bit_or("_way").alias("_ways")).where("_ways = 3").select("a", "b")
 
 
 def counts(rows: DataFrame) -> DataFrame:

@@ -169,7 +169,7 @@ _SQL_LISTS = "(SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHER
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers and parts as words that list each other: a table of synonyms that grows with the data."""
-    return _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).where("a <> b").distinct()
+    return _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).where("a <> b")
 
 
 @_query("synonym_two_way_pairs", f"SELECT x.a, x.b FROM {_SQL_LISTS} x JOIN {_SQL_LISTS} y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b")
